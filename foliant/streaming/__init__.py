@@ -1,0 +1 @@
+"""Foliant: streaming."""
