@@ -45,7 +45,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.__dict__["_foliant_path"] = path
+    return written
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``; call it only when no plan reads it any more."""
+    remove_path(df.sparkSession, df.__dict__["_foliant_path"])
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
