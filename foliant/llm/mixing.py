@@ -207,6 +207,24 @@ def draw_blocks(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
     )
 
 
+def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as they are taken, the last copy cut at a word where the quota ends.
+
+    The columns are those of ``docs``; nulls, repeated rows and empty tables as in ``mix``.
+    """
+    kept = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    flat = kept.select("uid", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"), F.col("row")[source].alias("source"))
+    size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
+    sizes = materialize(flat.select("uid", "doc_id", "source", size.alias("size")), "sizes")
+    copies = draw_blocks(sizes, mixing_plan(sizes)).groupBy("uid", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"))
+    taken = copies.join(sizes.select("uid", "size"), "uid").groupBy("uid").agg(F.collect_list(F.when(F.col("n") < F.col("size"), F.col("n")).otherwise(-1)).alias("lengths"))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    some = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("n"), F.lit(0)).cast("int")), "")
+    out = kept.join(taken, "uid").select("row", F.explode("lengths").alias("n"))
+    cut = F.when(F.col("n") < 0, F.col("row")[text]).otherwise(some)
+    return out.select(F.col("row").withField(text, cut).alias("row")).select("row.*")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, copies counted).
 
