@@ -24,6 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from foliant.llm.text import WORD, whole
 from foliant.runtime import discard, materialize
@@ -49,7 +50,7 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([simhash(t) for t in texts], dtype="int64")
@@ -84,7 +85,7 @@ def _chain_holds(a: Column, b: Column) -> Column:
     return some
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(ArrayType(LongType()))
 def midpoints(fps: pd.Series) -> pd.Series:
     """All values within two bits."""
     one = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
