@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, exact_dedup, language, line_dedup, mixing, quality, secrets, simhash, warc
+from foliant.llm import bpe, exact_dedup, language, line_dedup, lm, mixing, quality, secrets, simhash, warc
 from foliant.runtime import table
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_secrets, op4_warc, op5_quality, op6_language, op7_bpe, op8_simhash, op9_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm, op2_mixing, op3_secrets, op4_warc, op5_quality, op6_language, op7_bpe, op8_simhash, op9_line_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op9_line_dedup": r"""

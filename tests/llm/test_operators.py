@@ -234,3 +234,31 @@ def test_warc_reader_rejects_damage():
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_lm_base_equals_brute_force(spark):
+    from collections import Counter
+    from math import log10
+
+    tokens = {r["doc_id"]: WORD.findall((r["text"] or "").translate(UPPER)) + [None] for r in docs(spark)}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
+    c = Counter(t for d, ts in tokens.items() if not held[d] for t in ts)
+    n, v = sum(c.values()), len(c)
+    gains = []
+    for r in queries.op1_lm(spark, SF).collect():
+        ts = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ts), sum(t in c for t in ts), n)
+        assert r["base_score"] == pytest.approx(sum(log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), rel=1e-9)
+        assert r["score"] < 0
+        gains.append((r["held_out"], r["score"] / r["base_score"], r["bits_per_byte"]))
+    print("score / base, bits per byte, held out:", np.mean([g[1:] for g in gains if g[0]], axis=0), "learned:", np.mean([g[1:] for g in gains if not g[0]], axis=0))
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_lm_odd_rows(spark, rows):
+    from pyspark.sql import functions as F
+
+    from foliant.llm import lm
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(lm.score_texts(df, F.col("doc_id") > 3).collect()) == len(rows)
