@@ -1,2 +1,201 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Named queries over the Parquet tables, with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from foliant.functions import text as T
+from foliant.operators import blocks, search
+from foliant.runtime import table
+
+QUERIES, ORACLE_SQL = {}, {}
+_FOLD = f"translate(translate(lower(coalesce(text, '')), '’', ''''), '{T.ACCENTED}', '{T.PLAIN}')"
+_KEY = "regexp_replace(replace(replace(lower({0}), 'œ', 'oe'), 'æ', 'ae'), '[^a-z0-9]', '', 'g')"
+_SPACE = r"[ \t\n\r\f\x0B\x{A0}\x{202F}\x{FEFF}]"
+_STRIP = rf"regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL"
+
+
+def query(sql: str):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def register(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return register
+
+
+@query(
+    f"""WITH hit AS (SELECT doc_id, lang, source, len({_FOLD}) - len(replace({_FOLD}, 'tion', '')) AS d FROM documents
+                     WHERE contains({_FOLD}, 'tion') AND contains({_FOLD}, 'er'))
+        SELECT doc_id, source, (d // 4)::BIGINT AS score, row_number() OVER w AS position, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id
+        FROM hit WINDOW w AS (PARTITION BY source ORDER BY d // 4 DESC, doc_id)"""
+)
+def search_and_rank(spark, sf_dir):
+    found = search.search(table(spark, sf_dir, "documents"), "\"tion\" the er", [F.col("text")])
+    scored = found.select("doc_id", "source", F.regexp_count(T.fold(F.col("text")), F.lit("tion")).cast("long").alias("score"))
+    return search.navigate(scored, "source", [F.desc("score"), "doc_id"], "doc_id")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE contains(doc_id::VARCHAR, '12')")
+def search_numeric_id(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(F.col("doc_id").cast("string").contains("12")).select("doc_id", "source", "n_chars")
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel')")
+def search_exact_phrase(spark, sf_dir):
+    return search.search(table(spark, sf_dir, "part"), '"steel"', [F.col("p_name"), F.col("p_brand"), F.col("p_type")]).select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+@query(f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
+def fold_accents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold(F.coalesce("text", F.lit("")))).alias("folded"))
+
+
+@query(f"SELECT doc_id, md5({_KEY.format('text')}) AS match_key FROM documents")
+def match_key(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.match_key(F.col("text"))).alias("match_key"))
+
+
+@query(f"SELECT page_id, {_STRIP} AS plain FROM pages")
+def strip_html(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([\p{L}\p{N}])''', '\1’', 'g')) AS typeset FROM documents")
+def typography_apostrophe(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.apostrophes(F.col("text"))).alias("typeset"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\"([^\"]*)\"', '« \\1 »', 'g')) AS typeset FROM documents")
+def typography_quotes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.quotes(F.col("text"))).alias("typeset"))
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(text, '([\p{{L}}\p{{N}}]){_SPACE}*([;!?]+)', '\1" + " " + r"\2', 'g')) AS typeset FROM documents")
+def typography_punct(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.spaced_punctuation(F.col("text"))).alias("typeset"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1)::BIGINT AS quality, coalesce(l.toxic, -1)::BIGINT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def lookup_left_coalesce(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.select("doc_id", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("quality", "toxic")])
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_existing(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_unmatched(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT p_partkey, t.term FROM part, (VALUES ('steel'), ('brass'), ('copper')) t(term) WHERE contains(lower(p_type), t.term)")
+def theta_contains(spark, sf_dir):
+    terms = F.array(*map(F.lit, ("steel", "brass", "copper")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(terms, lambda t: F.lower("p_type").contains(t))).alias("term"))
+
+
+@query("""SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_regionkey = 3 THEN upper(n_name) || '*' ELSE n_name END AS n_name FROM nation
+          UNION ALL SELECT n_nationkey + 100, n_name FROM nation WHERE n_regionkey = 0""")
+def upsert_rows(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", "n_regionkey")
+    changed = nation.where("n_regionkey = 3").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("*")).alias("n_name"))
+    added = nation.where("n_regionkey = 0").select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name")
+    return blocks.upsert(nation.drop("n_regionkey"), changed.unionByName(added), "n_nationkey")
+
+
+@query("SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT min(c_custkey) FROM customer GROUP BY c_nationkey)")
+def delete_first_match(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+    first = customer.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
+    return customer.join(first.select("c_custkey"), "c_custkey", "left_anti")
+
+
+@query("SELECT coalesce(max(CASE WHEN c_custkey >= 50 AND c_custkey < 100 THEN c_custkey END) + 1, 50)::BIGINT AS next_id FROM customer")
+def next_id(spark, sf_dir):
+    inside = F.max(F.when((F.col("c_custkey") >= 50) & (F.col("c_custkey") < 100), F.col("c_custkey")))
+    return table(spark, sf_dir, "customer").agg(F.coalesce(inside + 1, F.lit(50)).cast("long").alias("next_id"))
+
+
+@query(rf"SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(trim(line), '^(?:\d+\s*/\s*\d+|(?i:page)\s+\d+|\d+)$')) AS n_kept FROM ({_LINES}) GROUP BY doc_id")
+def page_lines_filter(spark, sf_dir):
+    lines = blocks.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(~T.page_number_line(F.col("line"))).alias("n_kept"))
+
+
+@query("SELECT conv_id, turn, (count(*) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS block FROM conversations")
+def block_split_running_sum(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("role") == "user").alias("starts"))
+    return blocks.split_blocks(turns, "conv_id", "turn", F.col("starts")).select("conv_id", "turn", "block")
+
+
+@query("SELECT conv_id, turn, coalesce(bool_or(length(text) > 150) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), false) AS in_body FROM conversations")
+def sticky_body(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return blocks.sticky(turns, "conv_id", "turn", F.col("n") > 150, "in_body").select("conv_id", "turn", "in_body")
+
+
+@query(
+    f"""WITH l AS ({_LINES}),
+         m AS (SELECT *, pos = 0 OR NOT coalesce(regexp_matches(line, '^[a-z(]') OR regexp_matches(lag(line) OVER (PARTITION BY doc_id ORDER BY pos), '[,;:-]$'), false) AS new FROM l),
+         b AS (SELECT *, (count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))::BIGINT AS block FROM m)
+        SELECT doc_id, block, count(*) AS n_lines, string_agg(line, ' ' ORDER BY pos) AS merged FROM b GROUP BY doc_id, block"""
+)
+def merge_continuation_lines(spark, sf_dir):
+    return blocks.merge_lines(blocks.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "pos", "line")
+
+
+@query(
+    """SELECT l_suppkey, arg_max(l_quantity, (n, -l_quantity)) AS dominant FROM
+       (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey"""
+)
+def dominant_value(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_quantity").agg(F.count("*").alias("n"))
+    return counts.groupBy("l_suppkey").agg(F.max_by("l_quantity", F.struct("n", -F.col("l_quantity"))).alias("dominant"))
+
+
+@query(
+    r"""SELECT type, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (
+        SELECT page_id, 'empty_element' AS type FROM pages WHERE regexp_matches(html, '<p[^>]*>\s*</p>')
+        UNION ALL SELECT page_id, 'inline_style' FROM pages WHERE regexp_matches(html, ' style=')
+        UNION ALL SELECT page_id, 'unclosed_bold' FROM pages WHERE len(regexp_extract_all(html, '<b>')) > len(regexp_extract_all(html, '</b>'))) GROUP BY type"""
+)
+def anomaly_counts(spark, sf_dir):
+    html = F.col("html")
+    rules = {"empty_element": html.rlike(r"<p[^>]*>\s*</p>"), "inline_style": html.contains(" style="), "unclosed_bold": F.regexp_count(html, F.lit("<b>")) > F.regexp_count(html, F.lit("</b>"))}
+    found = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda t: t.isNotNull())
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("type")).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
+@query(
+    """WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3))) AS s FROM benchmark)
+       SELECT a.item_id, b.item_id AS next_item, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity
+       FROM g a JOIN g b ON b.item_id = a.item_id + 1 WHERE len(a.s) + len(b.s) > 0"""
+)
+def trigram_jaccard(spark, sf_dir):
+    grams = table(spark, sf_dir, "benchmark").select("item_id", T.trigrams(F.col("text")).alias("s"))
+    after = grams.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("next_item"), F.col("s").alias("t"))
+    both = grams.join(after, "item_id").where(F.size("s") + F.size("t") > 0)
+    return both.select("item_id", "next_item", F.round(T.jaccard(F.col("s"), F.col("t")), 6).alias("similarity"))
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER w AS position, lag(o_orderkey) OVER w AS prev_id, lead(o_orderkey) OVER w AS next_id FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def prev_next_nav(spark, sf_dir):
+    return search.navigate(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], "o_orderkey")
+
+
+@query("SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY ALL")
+def footnote_links(spark, sf_dir):
+    links = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, 5), ', ') AS first_words FROM part")
+def limit_five(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.split("p_name", " "), 1, 5), ", ").alias("first_words"))
