@@ -44,9 +44,9 @@ def search_numeric_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(F.col("doc_id").cast("string").contains("12")).select("doc_id", "source", "n_chars")
 
 
-@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_type), 'steel') OR contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel')")
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_type), 'ring') OR contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring')")
 def search_exact_phrase(spark, sf_dir):
-    return search.search(table(spark, sf_dir, "part"), '"steel"', [F.col("p_name"), F.col("p_brand"), F.col("p_type")]).select("p_partkey", "p_name", "p_brand", "p_type")
+    return search.search(table(spark, sf_dir, "part"), '"ring"', [F.col("p_name"), F.col("p_brand"), F.col("p_type")]).select("p_partkey", "p_name", "p_brand", "p_type")
 
 
 @query(f"SELECT doc_id, md5({_FOLD}) AS folded FROM documents")
@@ -95,9 +95,9 @@ def anti_unmatched(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT p_partkey, t.term FROM part, (VALUES ('steel'), ('brass'), ('copper')) t(term) WHERE contains(lower(p_type), t.term)")
+@query("SELECT p_partkey, t.term FROM part, (VALUES ('ring'), ('small'), ('promo')) t(term) WHERE contains(lower(p_type), t.term)")
 def theta_contains(spark, sf_dir):
-    terms = F.array(*map(F.lit, ("steel", "brass", "copper")))
+    terms = F.array(*map(F.lit, ("ring", "small", "promo")))
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(terms, lambda t: F.lower("p_type").contains(t))).alias("term"))
 
 
