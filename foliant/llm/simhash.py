@@ -8,10 +8,12 @@ the lookup key: a fingerprint is filed under (segment, next segment) and looks
 under that key and those with one bit of the second flipped. Longer chains
 then prune before the full Hamming check.
 
-Keys that many fingerprints look under come from groups of near copies. There
-no pairs are made: two fingerprints differ in at most four bits exactly if
-some value is within two bits of both, so each emits the values within two
-bits and is linked with the smallest fingerprint that emits the same value.
+Under a key all links among its fingerprints are found at once, and each is
+then linked with the smallest one that it reaches there: as many edges as
+fingerprints, not as pairs. Keys that many fingerprints look under come from
+groups of near copies and aren't gathered: two fingerprints differ in at most
+four bits exactly if some value is within two bits of both, so each emits the
+values within two bits and is linked with the smallest that emits the same.
 """
 
 from __future__ import annotations
@@ -72,19 +74,49 @@ def lookups(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.key", "fp", "k.filed")
 
 
-def _chain_holds(a: Column, b: Column) -> Column:
-    """Some chain keeps its budgets at every length."""
-    some = F.lit(False)
-    diff = [F.bit_count(_segment(a.bitwiseXOR(b), i)) for i in range(5)]
+def chain_holds(x: np.ndarray) -> np.ndarray:
+    """For differences ``x`` (unsigned), if some chain of segments keeps its budgets at every length."""
+    diff = [np.bitwise_count((x >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int8) for low, width in SEGMENTS]
+    some = np.zeros(x.shape, bool)
     for i in range(5):
-        total, chain = F.lit(0), F.lit(True)
+        total, chain = np.zeros(x.shape, np.int8), np.ones(x.shape, bool)
         for length in range(1, 5):
             total = total + diff[(i + length - 1) % 5]
-            chain = chain & (total <= length * BITS // 5)
-        some = some | chain
+            chain &= total <= length * BITS // 5
+        some |= chain
     return some
 
 
+def stars(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): each of the distinct ``values`` b with the smallest a that links among ``values`` reach from it, if not itself."""
+    fps = np.sort(values)
+    x = fps.view(np.uint64)[:, None] ^ fps.view(np.uint64)[None, :]
+    near = chain_holds(x)
+    near[near] = np.bitwise_count(x[near]) <= BITS
+    root = np.arange(len(fps))
+    while True:
+        low = np.where(near, root[None, :], len(fps)).min(1)
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    moved = root != np.arange(len(fps))
+    return fps[root[moved]], fps[moved]
+
+
+def key_edges(hits: DataFrame) -> DataFrame:
+    """a, b from ``fps``, the at most ``CROWD`` fingerprints of a key."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [stars(np.asarray(fps, np.int64)) for fps in batch["fps"]]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+    return hits.select("fps").mapInPandas(run, "a long, b long")
+
+
 @F.pandas_udf(ArrayType(LongType()))
 def midpoints(fps: pd.Series) -> pd.Series:
     """All values within two bits."""
@@ -99,11 +131,8 @@ def links(nodes: DataFrame) -> DataFrame:
     looks = lookups(nodes)
     busy = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("filed").alias("any")).where("n > 1 AND any").select("key", "n")
     hits = materialize(looks.join(busy, "key"), "simhash-hits")
-    few = hits.where(F.col("n") <= CROWD)
-    a, b = few.where("filed").select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS
-    pairs = a.join(b, "key").where(F.col("a") != F.col("b")).where(_chain_holds(F.col("a"), F.col("b")) & near)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = hits.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_list("fp").alias("fps"))
+    pairs = key_edges(few)
     mids = hits.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(midpoints("fp")).alias("mid"))
     heads = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
     crowd = mids.join(heads, "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
