@@ -73,3 +73,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer splits than cores over all cores, for costly Python stages.
+
+    Such an input holds less than a few MB a core, so the shuffle is cheap; a
+    larger one is left where it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
