@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.text import whole
+from foliant.runtime import spread
 
 #: Words remembered by a Python worker.
 REMEMBERED = 400_000
@@ -208,4 +209,4 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", doc_id: str =
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(run, schema)
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t"))).mapInPandas(run, schema)

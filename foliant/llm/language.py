@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.linear import features, fit, gather
+from foliant.runtime import spread
 
 PER_LANG, BITS, CHARS = 500, 15, (1, 2, 3)
 #: More languages than this aren't learned at once: the sample goes to the driver.
@@ -105,4 +106,4 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))).mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")

@@ -40,20 +40,32 @@ def features(text: str, bits: int, chars: tuple[int, ...], words: tuple[int, ...
     return slots, values / max(1e-12, float(np.sqrt(values @ values)))
 
 
+class _Sums:
+    """Sums of value * x[index] over each run of equal ``group`` (ascending), as an array of ``size``."""
+
+    def __init__(self, group: np.ndarray, index: np.ndarray, values: np.ndarray, size: int):
+        self.index, self.values, self.size = index, values, size
+        self.starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        self.groups = group[self.starts]
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.starts):
+            out[self.groups] = np.add.reduceat(np.take(x.astype(np.float32), self.index) * self.values, self.starts)
+        return out
+
+
 class Rows:
-    """Sparse rows with one label each."""
+    """Sparse rows, held by row and by column so that both products read memory in order."""
 
     def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], bits: int):
         self.n, self.dims = len(pairs), 1 << bits
-        self.slots = np.concatenate([np.asarray(s, np.int64) for s, _ in pairs] or [np.zeros(0, np.int64)])
-        self.values = np.concatenate([np.asarray(v, np.float64) for _, v in pairs] or [np.zeros(0)])
-        self.owner = np.repeat(np.arange(self.n), [len(s) for s, _ in pairs]).astype(np.int64)
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, self.values * w[self.slots], self.n)
-
-    def back(self, err: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slots, self.values * err[self.owner], self.dims)
+        slots = np.concatenate([np.asarray(s, np.int64) for s, _ in pairs] or [np.zeros(0, np.int64)])
+        values = np.concatenate([np.asarray(v, np.float32) for _, v in pairs] or [np.zeros(0, np.float32)])
+        owner = np.repeat(np.arange(self.n), [len(s) for s, _ in pairs]).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        self.dot = _Sums(owner, slots, values, self.n)
+        self.back = _Sums(slots[order], owner[order], values[order], self.dims)
 
 
 def fit(rows: Rows, y: np.ndarray, hinge: bool, use: np.ndarray | None = None, steps: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -80,6 +92,7 @@ def gather(rows: DataFrame, label: str, bits: int, chars: tuple[int, ...], words
             pairs = [features(t.lower() if lower else t, bits, chars, words) for t in batch["t"]]
             yield pd.DataFrame({"label": batch[label].astype(str), "fold": batch["fold"], "s": [p[0].astype("<i4").tobytes() for p in pairs], "v": [p[1].astype("<f4").tobytes() for p in pairs]})
 
-    got = sorted(rows.select("t", "fold", label).mapInPandas(run, "label string, fold long, s binary, v binary").collect(), key=lambda r: (r["fold"], r["label"], bytes(r["s"]), bytes(r["v"])))
+    sample = rows.select("t", "fold", label).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    got = sorted(sample.mapInPandas(run, "label string, fold long, s binary, v binary").collect(), key=lambda r: (r["fold"], r["label"], bytes(r["s"]), bytes(r["v"])))
     pairs = [(np.frombuffer(r["s"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in got]
     return Rows(pairs, bits), np.array([r["label"] for r in got], dtype=object), np.array([r["fold"] for r in got], dtype=np.int64)

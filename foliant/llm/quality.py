@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.linear import features, fit, gather
 from foliant.llm.text import WORD, whole
+from foliant.runtime import spread
 
 FIT_ROWS, FOLDS = 4000, 5
 LEAST_WORDS, MOST_REPEATED, THRESHOLD = 50, 50, 0.3
@@ -111,7 +112,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, probability double"
-    return docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(run, schema)
+    return spread(docs.select(F.col(doc_id).alias("doc_id"), whole(text).alias("t"))).mapInPandas(run, schema)
 
 
 def verdict_column(model: QualityModel, threshold: float = THRESHOLD):
