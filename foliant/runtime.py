@@ -79,7 +79,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of an input with fewer splits than cores over all cores, for costly Python stages.
 
     Such an input holds less than a few MB a core, so the shuffle is cheap; a
-    larger one is left where it is read.
+    larger one is left where it is read. ``df`` should be a scan, as a plan with
+    exchanges would be run to count its splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
