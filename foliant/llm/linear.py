@@ -40,32 +40,41 @@ def features(text: str, bits: int, chars: tuple[int, ...], words: tuple[int, ...
     return slots, values / max(1e-12, float(np.sqrt(values @ values)))
 
 
+#: Entries that a product takes at a time.
+_PART = 1 << 20
+
+
 class _Sums:
-    """Sums of value * x[index] over each run of equal ``group`` (ascending), as an array of ``size``."""
+    """Sums of value * x[index] over each group, a run of ``lengths`` entries, taken in parts to bound memory."""
 
-    def __init__(self, group: np.ndarray, index: np.ndarray, values: np.ndarray, size: int):
-        self.index, self.values, self.size = index, values, size
-        self.starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        self.groups = group[self.starts]
+    def __init__(self, lengths: np.ndarray, index: np.ndarray, values: np.ndarray):
+        self.index, self.values, self.size = index, values, len(lengths)
+        self.groups = np.flatnonzero(lengths)
+        self.starts = (np.cumsum(lengths) - lengths)[self.groups]
+        cuts = np.searchsorted(self.starts, np.arange(0, len(index), _PART))
+        self.cuts = np.unique(np.r_[cuts, len(self.groups)])
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.size)
-        if len(self.starts):
-            out[self.groups] = np.add.reduceat(np.take(x.astype(np.float32), self.index) * self.values, self.starts)
+        out, x = np.zeros(self.size), x.astype(np.float32)
+        for g, h in zip(self.cuts[:-1], self.cuts[1:]):
+            lo, hi = self.starts[g], self.starts[h] if h < len(self.starts) else len(self.index)
+            out[self.groups[g:h]] = np.add.reduceat(np.take(x, self.index[lo:hi]) * self.values[lo:hi], self.starts[g:h] - lo)
         return out
 
 
 class Rows:
-    """Sparse rows, held by row and by column so that both products read memory in order."""
+    """Sparse rows, held by row and by column so that both products read memory in order; indices are as small as they fit."""
 
     def __init__(self, pairs: list[tuple[np.ndarray, np.ndarray]], bits: int):
         self.n, self.dims = len(pairs), 1 << bits
-        slots = np.concatenate([np.asarray(s, np.int64) for s, _ in pairs] or [np.zeros(0, np.int64)])
+        lengths = np.array([len(s) for s, _ in pairs], np.int64)
+        small = np.min_scalar_type(self.dims - 1)
+        slots = np.concatenate([np.asarray(s).astype(small) for s, _ in pairs] or [np.zeros(0, small)])
         values = np.concatenate([np.asarray(v, np.float32) for _, v in pairs] or [np.zeros(0, np.float32)])
-        owner = np.repeat(np.arange(self.n), [len(s) for s, _ in pairs]).astype(np.int64)
         order = np.argsort(slots, kind="stable")
-        self.dot = _Sums(owner, slots, values, self.n)
-        self.back = _Sums(slots[order], owner[order], values[order], self.dims)
+        owner = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(max(1, self.n))), lengths)
+        self.dot = _Sums(lengths, slots, values)
+        self.back = _Sums(np.bincount(slots, minlength=self.dims), owner[order], values[order])
 
 
 def fit(rows: Rows, y: np.ndarray, hinge: bool, use: np.ndarray | None = None, steps: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
