@@ -27,6 +27,7 @@ WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARDS, SEED = 1024, 16, 42
 #: More sources than this aren't broadcast but joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+ORDER = ("shard", "key", "ord", "block", "at")
 #: A prime above any quota below 2^31, hence coprime to it.
 _STEP = 2_147_483_629
 
@@ -171,11 +172,12 @@ def mixing_plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, shards: int =
 
 
 def draw_blocks(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The pieces of the mix: uid, copy, word_from, word_to (within the document), ord, block, shard, key.
+    """The pieces of the mix: uid, copy, word_from, word_to (within the document), ord, block, at, shard, key.
 
-    ``key`` orders the blocks within a shard; sort by (shard, key, ord, block,
-    word position in the block) to write a shard. A document gives at most two
-    copies, and the one at the quota's edge is cut at a word.
+    ``at`` is the piece's first word in its block. ``ORDER`` is the order of
+    the written mix: shards, in each its blocks by ``key``, in these their
+    pieces. A document gives at most two copies, and the one at the quota's
+    edge is cut at a word.
     """
     plan = broadcast_if_small(plan.withColumnRenamed("source", "plan_source"), BROADCAST_SOURCES)
     h = F.xxhash64(F.lit(seed), "doc_id", "size")
@@ -203,26 +205,35 @@ def draw_blocks(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
     shard = F.size(F.filter("cuts", lambda c: c <= dealt))
     return pieces.select(
         "uid", "copy", (lo - F.col("lo")).alias("word_from"), (hi - F.col("lo")).alias("word_to"), "ord", "block",
-        shard.alias("shard"), F.xxhash64(F.lit(seed + 2), "ord", "block").alias("key"),
+        (lo - F.col("block") * block_words).alias("at"), shard.alias("shard"), F.xxhash64(F.lit(seed + 2), "ord", "block").alias("key"),
     )
 
 
 def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs`` as often as they are taken, the last copy cut at a word where the quota ends.
+    """The mix itself: ``row`` of ``docs`` for each piece drawn, its text cut to the piece, and the columns of ``ORDER``.
 
-    The columns are those of ``docs``; nulls, repeated rows and empty tables as in ``mix``.
+    Pieces end where documents and blocks do; those of a whole copy make up
+    its text. Sorted by ``ORDER`` they are the shards, shuffled, one after
+    another. Nulls, repeated rows and empty tables as in ``mix``.
     """
     kept = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
     flat = kept.select("uid", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"), F.col("row")[source].alias("source"))
     size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
     sizes = materialize(flat.select("uid", "doc_id", "source", size.alias("size")), "sizes")
-    copies = draw_blocks(sizes, mixing_plan(sizes)).groupBy("uid", "copy").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("n"))
-    taken = copies.join(sizes.select("uid", "size"), "uid").groupBy("uid").agg(F.collect_list(F.when(F.col("n") < F.col("size"), F.col("n")).otherwise(-1)).alias("lengths"))
-    words = F.regexp_extract_all(F.col("row")[text], F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    some = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("n"), F.lit(0)).cast("int")), "")
-    out = kept.join(taken, "uid").select("row", F.explode("lengths").alias("n"))
-    cut = F.when(F.col("n") < 0, F.col("row")[text]).otherwise(some)
-    return out.select(F.col("row").withField(text, cut).alias("row")).select("row.*")
+    pieces = draw_blocks(sizes, mixing_plan(sizes)).join(sizes.select("uid", "size"), "uid")
+    drawn = pieces.groupBy("uid").agg(F.collect_list(F.struct("word_from", "word_to", (F.col("word_to") == F.col("size")).alias("ends"), *ORDER)).alias("pieces"))
+    words = F.regexp_extract_all(F.col("row")[text], F.lit(rf"[\x20\x09-\x0D]*{WORD}|[\x20\x09-\x0D]+\z"), F.lit(0))
+
+    def cut(words: Column) -> Column:
+        """Pieces with their texts; that which ends a document has the blanks after its last word."""
+        def one(p: Column) -> Column:
+            some = F.slice(words, (p["word_from"] + 1).cast("int"), (p["word_to"] - p["word_from"] + p["ends"].cast("long")).cast("int"))
+            return F.struct(F.array_join(some, "").alias("text"), *[p[c].alias(c) for c in ORDER])
+
+        return F.transform("pieces", one)
+
+    out = kept.join(drawn, "uid").select("row", F.explode(_let(words, cut)).alias("p"))
+    return out.select(F.col("row").withField(text, F.col("p.text")).alias("row"), *[F.col(f"p.{c}").alias(c) for c in ORDER])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
