@@ -6,6 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+_ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*?"""
+#: Rules whose every match is an anomaly.
+ANOMALIES = {
+    "empty_element": r"(?i)<p(?:\s" + _ATTRIBUTES + r")?>(?:\s|\x{A0}|&nbsp;)*</p\s*>",
+    "inline_style": r"(?i)<[a-z]" + _ATTRIBUTES + r"\sstyle(?:\s*=|[\s/>])",
+}
+
+
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, line for each line of each text."""
     return df.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
@@ -31,6 +40,17 @@ def merge_lines(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     return marked.groupBy(key, "block").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(pos, text))), lambda x: x[text]), " ").alias("merged"))
 
 
+def anomalies(df: DataFrame, key: str, html: str) -> DataFrame:
+    """key, type, found: a row for each empty paragraph and each element with a style; scripts, style sheets and comments are no markup."""
+    markup = F.regexp_replace(html, HIDDEN, "")
+
+    def matches(name: str, rule: str):
+        return F.transform(F.regexp_extract_all(markup, F.lit(rule), F.lit(0)), lambda m: F.struct(F.lit(name).alias("type"), m.alias("found")))
+
+    rows = [matches(name, rule) for name, rule in ANOMALIES.items()]
+    return df.select(key, F.explode(F.concat(*rows)).alias("a")).select(key, "a.type", "a.found")
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of ``changes`` replace those of ``base`` with their key, the others are added."""
     return base.join(changes, key, "left_anti").unionByName(changes)

@@ -173,6 +173,17 @@ def anomaly_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("type")).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
 
 
+_ANOMALY_ROWS = " UNION ALL ".join(
+    f"SELECT page_id, '{name}' AS type, unnest(regexp_extract_all(regexp_replace(html, '{blocks.HIDDEN}', '', 'g'), '{rule.replace(chr(39), chr(39) * 2)}', 0)) AS found FROM pages" for name, rule in blocks.ANOMALIES.items()
+)
+
+
+@query(f"SELECT type, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM ({_ANOMALY_ROWS}) GROUP BY type")
+def anomaly_matches(spark, sf_dir):
+    found = blocks.anomalies(table(spark, sf_dir, "pages"), "page_id", "html")
+    return found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
+
+
 @query(
     """WITH g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(length(text) - 1, 1)), lambda i: substr(text, i, 3))) AS s FROM benchmark)
        SELECT a.item_id, b.item_id AS next_item, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity
