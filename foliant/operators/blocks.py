@@ -51,6 +51,33 @@ def anomalies(df: DataFrame, key: str, html: str) -> DataFrame:
     return df.select(key, F.explode(F.concat(*rows)).alias("a")).select(key, "a.type", "a.found")
 
 
+_TRANSLATOR = r"(?i)^(Trad\.|Traduction)"
+_NOT_HEADING = r"(?i)^(Trad\.|Traduction|Tome|Vol\.|Ed\.|Éd\.|p\.|Page|Chapitre|col\.)"
+
+
+def merge_references(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
+    """key, ``block`` (position of its first line), n_lines, merged: a line that starts with an arrow takes in the lines that go on with it.
+
+    Lines go on unless they start with «, →, * or N.B., or look like a
+    subheading; after , ; : or -, and with a lower-case letter, a bracket or
+    Trad. at their start, they go on in any case but the first. Tags don't count.
+    """
+    w = Window.partitionBy(key).orderBy(pos)
+    clean = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"^[\s\x{A0}\x{202F}]+|[\s\x{A0}\x{202F}]+$", "")
+    lines = df.select(key, pos, text, clean.alias("_clean"))
+    line, arrow = F.col("_clean"), F.col("_clean").startswith("→")
+    starts = line.rlike(r"^(?:[«→*]|N\.B\.)")
+    heading = (F.length(line) < 75) & ~line.rlike(r"[.!?»]$") & line.rlike("^[A-ZÀ-Ÿ]") & ~line.rlike(_NOT_HEADING)
+    goes_on = F.coalesce(F.lag(line).over(w).rlike("[,;:-]$"), F.lit(False)) | line.rlike(r"^[\p{Ll}(\[]") | line.rlike(_TRANSLATOR)
+    lines = lines.withColumn("_arrow", arrow).withColumn("_new", arrow | starts | ~(goes_on | ~heading))
+    lines = split_blocks(lines, key, pos, F.col("_new"))
+    inside = Window.partitionBy(key, "block").orderBy(pos)
+    headed = F.first("_arrow").over(inside)
+    plain = F.when(F.col("_arrow"), F.regexp_replace(text, "^(<b><i>|<b>|<i>)?→(</i></b>|</b>|</i>)?", "→")).otherwise(F.col(text))
+    lines = lines.select(key, F.when(headed, F.first(pos).over(inside)).otherwise(F.col(pos)).alias("block"), F.struct(F.col(pos).alias("p"), plain.alias("t")).alias("l"))
+    return lines.groupBy(key, "block").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"]), "\n").alias("merged"))
+
+
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of ``changes`` replace those of ``base`` with their key, the others are added."""
     return base.join(changes, key, "left_anti").unionByName(changes)

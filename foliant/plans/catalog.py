@@ -151,6 +151,21 @@ def merge_continuation_lines(spark, sf_dir):
     return blocks.merge_lines(blocks.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "pos", "line")
 
 
+@query(
+    rf"""WITH l AS (SELECT *, regexp_replace(regexp_replace(line, '<[^>]+>', '', 'g'), '^[\s\x{{A0}}\x{{202F}}]+|[\s\x{{A0}}\x{{202F}}]+$', '', 'g') AS c FROM ({_LINES})),
+         m AS (SELECT *, starts_with(c, '→') AS arrow, starts_with(c, '→') OR regexp_matches(c, '^(?:[«→*]|N\.B\.)') OR NOT (
+                   coalesce(regexp_matches(lag(c) OVER (PARTITION BY doc_id ORDER BY pos), '[,;:-]$'), false) OR regexp_matches(c, '^[\p{{Ll}}(\[]') OR regexp_matches(c, '(?i)^(Trad\.|Traduction)')
+                   OR NOT (length(c) < 75 AND NOT regexp_matches(c, '[.!?»]$') AND regexp_matches(c, '^[A-ZÀ-Ÿ]')
+                           AND NOT regexp_matches(c, '(?i)^(Trad\.|Traduction|Tome|Vol\.|Ed\.|Éd\.|p\.|Page|Chapitre|col\.)'))) AS new FROM l),
+         s AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seg FROM m),
+         b AS (SELECT *, CASE WHEN arg_min(arrow, pos) OVER (PARTITION BY doc_id, seg) THEN min(pos) OVER (PARTITION BY doc_id, seg) ELSE pos END AS block,
+                      CASE WHEN arrow THEN regexp_replace(line, '^(<b><i>|<b>|<i>)?→(</i></b>|</b>|</i>)?', '→') ELSE line END AS t FROM s)
+        SELECT doc_id, block, count(*) AS n_lines, string_agg(t, chr(10) ORDER BY pos) AS merged FROM b GROUP BY doc_id, block"""
+)
+def merge_reference_lines(spark, sf_dir):
+    return blocks.merge_references(blocks.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id", "pos", "line")
+
+
 @query(
     """SELECT l_suppkey, arg_max(l_quantity, (n, -l_quantity)) AS dominant FROM
        (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey"""
