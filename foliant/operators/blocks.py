@@ -1,4 +1,4 @@
-"""Document-order operators on lines and blocks: islands, sticky states and audit rules."""
+"""Document-order operators on lines and blocks: merging, sticky states and audit rules."""
 
 from __future__ import annotations
 
