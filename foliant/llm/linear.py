@@ -71,6 +71,7 @@ class Rows:
         small = np.min_scalar_type(self.dims - 1)
         slots = np.concatenate([np.asarray(s).astype(small) for s, _ in pairs] or [np.zeros(0, small)])
         values = np.concatenate([np.asarray(v, np.float32) for _, v in pairs] or [np.zeros(0, np.float32)])
+        pairs.clear()
         order = np.argsort(slots, kind="stable")
         owner = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(max(1, self.n))), lengths)
         self.dot = _Sums(lengths, slots, values)
@@ -93,15 +94,27 @@ def fit(rows: Rows, y: np.ndarray, hinge: bool, use: np.ndarray | None = None, s
     return w, float(b)
 
 
-def gather(rows: DataFrame, label: str, bits: int, chars: tuple[int, ...], words: tuple[int, ...] = (), lower: bool = False) -> tuple[Rows, np.ndarray, np.ndarray]:
-    """Features of a bounded sample (columns t, fold, ``label``), computed on the executors: rows, labels, folds."""
+def on_executor(sample: DataFrame, label: str, bits: int, chars: tuple[int, ...], words: tuple[int, ...], lower: bool, learn) -> list[bytes]:
+    """What ``learn(rows, labels, folds)`` yields for a bounded sample (columns t, fold, ``label``).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Features are computed on all executors; one task then holds the rows, in an
+    order of their own, and fits, so that the driver only sees the models.
+    """
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pairs = [features(t.lower() if lower else t, bits, chars, words) for t in batch["t"]]
             yield pd.DataFrame({"label": batch[label].astype(str), "fold": batch["fold"], "s": [p[0].astype("<i4").tobytes() for p in pairs], "v": [p[1].astype("<f4").tobytes() for p in pairs]})
 
-    sample = rows.select("t", "fold", label).repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    got = sorted(sample.mapInPandas(run, "label string, fold long, s binary, v binary").collect(), key=lambda r: (r["fold"], r["label"], bytes(r["s"]), bytes(r["v"])))
-    pairs = [(np.frombuffer(r["s"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in got]
-    return Rows(pairs, bits), np.array([r["label"] for r in got], dtype=object), np.array([r["fold"] for r in got], dtype=np.int64)
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        small = np.min_scalar_type((1 << bits) - 1)
+        got = [(f, y, np.frombuffer(s, "<i4").astype(small), np.frombuffer(v, "<f4")) for b in batches for f, y, s, v in zip(b["fold"], b["label"], b["s"], b["v"])]
+        got.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+        folds, labels = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], dtype=object)
+        pairs = [r[2:] for r in got]
+        got.clear()
+        yield pd.DataFrame({"model": list(learn(Rows(pairs, bits), labels, folds))}, dtype=object)
+
+    rows = sample.select("t", "fold", label).repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    made = rows.mapInPandas(featured, "label string, fold long, s binary, v binary")
+    return [bytes(r["model"]) for r in made.repartition(1).mapInPandas(fitted, "model binary").collect()]

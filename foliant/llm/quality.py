@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules and a calibrated logistic regression on hashed n-grams.
 
-The classifier is fitted on at most ``FIT_ROWS`` labelled rows, those with the
-smallest hashes of their doc_id. A fifth of them is held back to calibrate the
+The classifier is fitted, by one task, on at most ``FIT_ROWS`` labelled rows,
+those with the smallest hashes of their doc_id. A fifth of them is held back to calibrate the
 scores (Platt's method). All texts are scored in Arrow batches; a document is
 rejected by a base rule or if its calibrated probability of good quality is
 under the fixed threshold.
@@ -9,6 +9,7 @@ under the fixed threshold.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.linear import features, fit, gather
+from foliant.llm.linear import Rows, features, fit, on_executor
 from foliant.llm.text import WORD, whole
 from foliant.runtime import spread
 
@@ -50,11 +51,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) ->
     order = F.xxhash64("doc_id", "quality")
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(order, "doc_id", "quality").limit(max_rows)
     sample = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)))
-    sample = sample.orderBy(order, "t").limit(max_rows)
-    rows, label, fold = gather(sample, "quality", BITS, CHARS, WORDS)
+    sample = sample.orderBy(order, "t").limit(max_rows)  # doc_ids may repeat
+    made = on_executor(sample, "quality", BITS, CHARS, WORDS, False, learn_quality)
+    return pickle.loads(made[0]) if made else QualityModel(None)
+
+
+def learn_quality(rows: Rows, label: np.ndarray, fold: np.ndarray) -> Iterator[bytes]:
+    """The pickled model of the rows: weights from all folds but 0, on which the margins are calibrated."""
     y = np.where(label == "0", -1.0, 1.0)
     if len(set(y)) < 2:
-        return QualityModel(None)
+        yield pickle.dumps(QualityModel(None))
+        return
     train = fold != 0
     w, b = fit(rows, y, hinge=False, use=train, steps=200, decay=1e-5)
     margin, target = (rows.dot(w) + b)[~train], (y[~train] + 1) / 2
@@ -69,7 +76,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = FIT_ROWS) ->
             h = np.array([[(v * margin * margin).sum() + 1e-3, (v * margin).sum()], [(v * margin).sum(), v.sum() + 1e-3]])
             step = np.linalg.solve(h, g)
             slope, shift = slope - float(np.clip(step[0], -1, 1)), shift - float(np.clip(step[1], -1, 1))
-    return QualityModel(w.astype(np.float32), b, slope, shift)
+    yield pickle.dumps(QualityModel(w.astype(np.float32), b, slope, shift))
 
 
 def measures(text: str) -> tuple[int, int, int, int, int]:
