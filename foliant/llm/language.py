@@ -2,12 +2,13 @@
 
 Both steps vote with linear support vector machines on hashed character
 n-grams: between families, then between the languages of the family that won.
-They are fitted on at most ``PER_LANG`` texts of each language, those with the
-smallest hashes of their doc_id.
+They are fitted, by one task, on at most ``PER_LANG`` texts of each language,
+those with the smallest hashes of their doc_id and text.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -17,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.linear import features, fit, gather
+from foliant.llm.linear import Rows, features, fit, on_executor
 from foliant.runtime import spread
 
 PER_LANG, BITS, CHARS = 500, 15, (1, 2, 3)
-#: More languages than this aren't learned at once: the sample goes to the driver.
-MOST_LANGS = 200
+#: Machines at most, of 4 bytes for each of 2 ** BITS weights, hence 75 MB; the languages with the most rows have them.
+MOST_MACHINES = 600
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -67,27 +68,69 @@ class LanguageModel:
         return lang, sure * sure_too
 
 
+def chosen_languages(counts: list[tuple[str, int]], most: int = MOST_MACHINES) -> list[str]:
+    """Languages of (lang, rows) in order of their rows, as many as need no more than ``most`` machines."""
+    members: dict[str, int] = {}
+    machines, chosen = 0, []
+    for lang, _ in sorted(counts, key=lambda c: (-c[1], c[0])):
+        group = family(lang)
+        more = members[group] if group in members else len(members)
+        if machines + more > most:
+            break
+        machines += more
+        members[group] = members.get(group, 0) + 1
+        chosen.append(lang)
+    return chosen
+
+
+def language_sample(docs: DataFrame, counts: dict[str, int], per_lang: int = PER_LANG) -> DataFrame:
+    """t, lang, fold: at most ``per_lang`` texts of each language of ``counts``, those with the smallest hashes of doc_id and text.
+
+    A hash under a bound that about four times as many texts of the language
+    meet lets a row in, so that ranking never sees more; equal rows count once.
+    """
+    spark = docs.sparkSession
+    bounds = [(lang, min(1.0, 4 * per_lang / n) * 2.0**63) for lang, n in counts.items()]
+    share = F.broadcast(spark.createDataFrame(bounds, "lang string, most double"))  # at most MOST_MACHINES rows
+    h = F.xxhash64("doc_id", "text")
+    near = docs.select("lang", h.alias("h"), F.col("text").alias("t")).join(share, "lang").where(F.abs(F.shiftright("h", 1)) * 2.0 <= F.col("most"))
+    once = near.groupBy("lang", "h").agg(F.min("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return once.withColumn("r", rank).where(F.col("r") <= per_lang).select("t", "lang", F.col("h").alias("fold"))
+
+
+def learn_machines(groups: dict[str, list[str]]):
+    """A function that fits the machines of ``groups`` and yields each pickled: (pair, weights, bias)."""
+
+    def learn(rows: Rows, label: np.ndarray, _: np.ndarray) -> Iterator[bytes]:
+        families = np.array([family(x) for x in label], dtype=object)
+        for names, have in [(sorted(groups), families), *[(members, label) for members in groups.values()]]:
+            for a, b in combinations(names, 2):
+                y = np.where(have == a, 1.0, -1.0)
+                w, bias = fit(rows, y, hinge=True, use=(have == a) | (have == b))
+                yield pickle.dumps(((a, b), w.astype(np.float32), bias))
+
+    return learn
+
+
 def fit_languages(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
-    """Fit on doc_id, text, lang of ``docs``; rows with a null text or lang aren't used."""
+    """Fit on doc_id, text, lang of ``docs``; rows with a null text or lang aren't used.
+
+    Any number of lang values gives a model; those with the fewest rows are
+    left out (and never predicted) once ``MOST_MACHINES`` are needed.
+    """
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    langs = [r["lang"] for r in usable.select("lang").distinct().limit(MOST_LANGS + 1).collect()]
-    if len(langs) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    sample = usable.select("doc_id", F.col("text").alias("t"), "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
-    rows, label, _ = gather(sample.withColumn("fold", F.xxhash64("doc_id")), "lang", BITS, CHARS, lower=True)
+    counted = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_MACHINES)
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    langs = sorted(chosen_languages(list(counts.items())))
+    if not langs:
+        return LanguageModel({})
     groups: dict[str, list[str]] = {}
-    for lang in sorted(langs):
+    for lang in langs:
         groups.setdefault(family(lang), []).append(lang)
-    model = LanguageModel(groups)
-    families = np.array([family(x) for x in label], dtype=object)
-    for names, have in [(sorted(groups), families), *[(members, label) for members in groups.values()]]:
-        for a, b in combinations(names, 2):
-            y = np.where(have == a, 1.0, -1.0)
-            w, bias = fit(rows, y, hinge=True, use=(have == a) | (have == b))
-            model.machines[a, b] = (w.astype(np.float32), bias)
-    return model
+    sample = language_sample(usable, {x: counts[x] for x in langs}, per_lang)
+    made = map(pickle.loads, on_executor(sample, "lang", BITS, CHARS, (), True, learn_machines(groups)))
+    return LanguageModel(groups, {pair: (w, bias) for pair, w, bias in made})
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
