@@ -20,11 +20,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -128,34 +129,77 @@ def midpoints(fps: pd.Series) -> pd.Series:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect exactly those which links of ``BITS`` bits connect."""
-    looks = lookups(nodes)
+    looks = lookups(nodes.repartition(max(1, nodes.sparkSession.sparkContext.defaultParallelism), "fp"))
     busy = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("filed").alias("any")).where("n > 1 AND any").select("key", "n")
-    hits = materialize(looks.join(busy, "key"), "simhash-hits")
+    hits = materialize(looks.join(busy.hint("merge"), "key"), "simhash-hits")
     few = hits.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     pairs = key_edges(few)
     mids = hits.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(midpoints("fp")).alias("mid"))
     heads = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
-    crowd = mids.join(heads, "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(crowd).distinct()
+    crowd = mids.join(heads.hint("merge"), "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
+    edges = materialize(contract(pairs.unionByName(crowd)), "simhash-edges")
+    discard(hits)
+    return edges
+
+
+#: Edges that a task contracts at a time.
+_CHUNK = 1 << 20
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the same nodes: of each chunk of a task's edges, stars around the smallest node of each group."""
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in chain(batches, [None]):
+            if batch is not None and len(batch):
+                held.append(batch.to_numpy(np.int64))
+                rows += len(batch)
+            if rows and (batch is None or rows >= _CHUNK):
+                nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+                x, y = at.reshape(-1, 2).T
+                held, rows, low = [], 0, np.arange(len(nodes))
+                while (low[x] != low[y]).any():
+                    least = np.minimum(low[x], low[y])
+                    for side in (low[x], low[y], x, y):
+                        np.minimum.at(low, side, least)
+                    low = low[low]
+                low = _settled(low)
+                moved = low != np.arange(len(nodes))
+                yield pd.DataFrame({"a": nodes[low[moved]], "b": nodes[moved]})
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInPandas(local, "a long, b long")
+
+
+def _settled(low: np.ndarray) -> np.ndarray:
+    while (low[low] != low).any():
+        low = low[low]
+    return low
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest connected node) for every node of ``edges`` (a, b); each round is a written table.
 
-    Each round takes the smallest label beside a node, then the label of that label.
+    Edges are contracted within tasks first. Each round takes the smallest
+    label beside a node, then the label of that label. Joins are merge joins,
+    whose hot keys are split while running: no side of them has a key twice.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    stars = contract(edges)
+    both = materialize(stars.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
-        beside = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        lower = labels.join(beside.withColumnRenamed("a", "node"), "node").select("node", F.least("root", "m").alias("next"), F.col("root").alias("old"))
-        lower = materialize(lower, "labels-low")
+        beside = both.join(labels.select(F.col("node").alias("b"), "root").hint("merge"), "b").groupBy("a").agg(F.min("root").alias("m"))
+        lower = labels.join(beside.withColumnRenamed("a", "node").hint("merge"), "node").select("node", F.least("root", "m").alias("next"), F.col("root").alias("old"))
+        lower, changes = materialize(lower, "labels-low"), Observation()
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = materialize(lower.join(jump, "next").select("node", F.least("next", "far").alias("root"), "old"), "labels")
-        changed = not new.where("root <> old").isEmpty()
+        new = lower.join(jump.hint("merge"), "next").select("node", F.least("next", "far").alias("root"), "old")
+        new = materialize(new.observe(changes, F.count_if(F.col("root") != F.col("old")).alias("n")), "labels")
         discard(lower)
+        discard(labels)
         labels = new.select("node", "root")
-        if not changed:
+        labels.__dict__["_foliant_path"] = new.__dict__["_foliant_path"]
+        if not changes.get.get("n"):
+            discard(both)
             return labels
 
 
@@ -170,8 +214,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), simhash_udf(whole(text)).alias("fp"), F.struct(*carry).alias("row") if carry else F.lit(True).alias("row"))
     rows = materialize(rows, "simhash")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    edges = links(nodes)
+    roots = components(edges)
+    placed = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("uid", "doc_id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(placed.join(least.hint("merge"), "root").select("fp", "component_id"), "simhash-named")
+    for done in (edges, roots, nodes):
+        discard(done)
+    return rows.join(named.hint("merge"), "fp").select("uid", "doc_id", "row", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
