@@ -10,32 +10,79 @@ which built the tokens. Words with a failing pair are merged exactly.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.text import whole
+from foliant.llm.text import WORD, slices, whole
 from foliant.runtime import spread
 
-#: Words remembered by a Python worker.
-REMEMBERED = 400_000
+#: Words remembered by a Python worker, in each of two generations.
+REMEMBERED = 250_000
 _NEVER = np.int64(1 << 40)
+#: Symbols up to which words are proposed and merged together with others.
+_SHORT = 48
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_NO_KEY = np.uint64((1 << 64) - 1)
+_BASE, _BASE_INVERSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
+_WORDS = re.compile(WORD)
+#: Words that composition leaves alone, and how the tokenizer cuts them once they are in lower case.
+_LATIN = re.compile("[!-~\xa1-\xff]+")
+_PARTS = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+#: The byte alphabet: bytes that aren't printable stand at U+0100 and after, in their order. Here each byte is a character of its own value.
+_ALPHABET = {b: b for b in range(256)} | {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
+_BYTES = {c: b for b, c in _ALPHABET.items()}
+#: Texts encoded at a time, and their characters together unless one alone has more.
+TEXTS, CHARS = 512, 1 << 21
+
+
+class _Table:
+    """Whole numbers by 64-bit key, looked up for arrays of keys: two arrays of slots, the second for keys whose first slot is taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 19):
+        keys, values, self.shift = keys.astype(np.uint64), values.astype(np.int64), np.uint64(64 - bits)
+        self.tables = []
+        for odd in _ODD:
+            slot = (keys * odd) >> self.shift
+            _, first = np.unique(slot, return_index=True)
+            held, value = np.full(1 << bits, _NO_KEY), np.full(1 << bits, -1)
+            held[slot[first]], value[slot[first]] = keys[first], values[first]
+            self.tables.append((odd, held, value))
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values = keys[left], values[left]
+            if not len(keys):
+                break
+        else:
+            raise ValueError("keys don't fit the table")
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, -1 where there is none."""
+        out = np.full(len(keys), -1)
+        for odd, held, value in self.tables:
+            slot = (keys * odd) >> self.shift
+            out = np.where(held[slot] == keys, value[slot], out)
+        return out
 
 
 class SpeculativeBpe:
     """Encoder and decoder for a tokenizers file with a BPE model whose merges make the ids in ascending order."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, with_ids: bool = True):
         from tokenizers import Tokenizer
 
+        self.with_ids = with_ids
+
         own = Tokenizer.from_file(path)
         self.normalizer, self.pre = own.normalizer, own.pre_tokenizer
         spec = json.load(open(path, encoding="utf-8"))
@@ -57,21 +104,50 @@ class SpeculativeBpe:
             if birth[z] < 0:
                 left[z], right[z], birth[z] = x, y, rank
         self.size, self.left, self.right, self.birth = size, left, right, birth
-        order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
-        self.pair_keys, self.pair_ranks = np.array(keys, dtype=np.int64)[order], order.astype(np.int64)
+        _, once = np.unique(keys := np.array(keys, np.int64), return_index=True)
+        self.rank_of = _Table(keys[once], once)
+        self.made_by = np.array([self.merges[k // size, k % size][1] for k in keys.tolist()], np.int64)
         made = np.flatnonzero(birth >= 0)
         sound = np.ones(size, bool)
         sound[made] = self.compatible(left[made], right[made], skip_top=True)
         for i in made[np.argsort(birth[made])]:
             sound[i] = sound[i] and sound[left[i]] and sound[right[i]]
         self.usable = {t: i for t, i in self.vocab.items() if sound[i] and (birth[i] >= 0 or len(t.removesuffix(self.suffix)) <= 1)}
-        self.longest = max(map(len, self.usable))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._hash_tokens()
+        self.digits = list(map(str, range(size)))
+        #: Entries of parts and of raw words, and those of the generation before.
+        self.known: dict[str, tuple] = {}
+        self.raw: dict[str, tuple] = {}
+        self.known_before, self.before = self.known, self.raw
+
+    def _hash_tokens(self) -> None:
+        """For proposals: symbols by character, hashes of usable tokens as symbol sequences, and the longest token after two symbols."""
+        chars = [chr(_ALPHABET[b]) for b in range(256)]
+        self.symbol = np.array([self.vocab.get(c, -1) for c in chars])
+        self.last_symbol = np.array([self.vocab.get(c + self.suffix, -1) for c in chars])
+        self.weight = (np.arange(1, self.size + 1, dtype=np.uint64) * _ODD[0]) ^ (np.arange(self.size, dtype=np.uint64) * _ODD[1] >> np.uint64(17))
+        start, n = self.weight.copy(), np.ones(self.size, np.int64)
+        powers = np.cumprod(np.full(4096, _BASE))
+        first, second = np.arange(self.size), np.full(self.size, -1)
+        with np.errstate(over="ignore"):
+            for z in np.flatnonzero(self.birth >= 0)[np.argsort(self.birth[self.birth >= 0])]:
+                x, y = self.left[z], self.right[z]
+                start[z], n[z] = start[x] + powers[n[x] - 1] * start[y], n[x] + n[y]
+                first[z], second[z] = first[x], second[x] if n[x] > 1 else first[y]
+        ids = np.array(sorted(self.usable.values()))
+        self.single, ids = ids[n[ids] == 1], ids[n[ids] > 1]
+        self.token_of, self.most = _Table(start[ids], ids), int(n[ids].max(initial=1))
+        ordinal = np.full(self.size, -1)
+        symbols = np.unique(np.concatenate([self.symbol, self.last_symbol]))
+        ordinal[symbols[symbols >= 0]] = np.arange((symbols >= 0).sum())
+        self.ordinal, self.reach = ordinal, np.ones((512, 512), np.int64)
+        np.maximum.at(self.reach, (ordinal[first[ids]], ordinal[second[ids]]), n[ids])
+        self.is_single = np.zeros(self.size, bool)
+        self.is_single[self.single] = True
 
     def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = x.astype(np.int64) * self.size + y
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NEVER)
+        rank = self.rank_of((x.astype(np.int64) * self.size + y).astype(np.uint64))
+        return np.where(rank < 0, _NEVER, rank)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, skip_top: bool = False) -> np.ndarray:
         """For each pair of tokens, if the encoding of its string is the pair; at equal ranks the left merge comes first."""
@@ -92,24 +168,80 @@ class SpeculativeBpe:
             open_ = open_[good[open_] & ((bx >= 0) | (by >= 0))]
         return good
 
-    def propose(self, word: str) -> list[int] | None:
-        """Greedy longest match over tokens that encode to themselves; None if a symbol is unknown."""
-        out, at, n = [], 0, len(word)
-        while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                token = self.usable.get(word[at:end] + self.suffix if end == n else word[at:end])
-                if token is not None:
-                    out.append(token)
-                    at = end
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of words one after another, and their lengths."""
+        points = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        out, last = self.symbol[points], np.cumsum(lengths) - 1
+        out[last] = self.last_symbol[points[last]]
+        return out, lengths
+
+    def propose(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match over tokens that encode to themselves: tokens, and the word that each is of.
+
+        Windows of symbols are looked up by a polynomial hash, for all places
+        and one length at a time; a symbol that is no such token stands as -1.
+        """
+        n, ends = len(symbols), np.repeat(np.cumsum(lengths), lengths)
+        powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.weight[symbols] * powers[:n])])
+        back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, n - 1), _BASE_INVERSE))])[:n]
+        token, length = np.where(self.is_single[symbols], symbols, -1), np.ones(n, np.int64)
+        kind = self.ordinal[symbols]
+        room = np.minimum(self.reach[kind, np.append(kind[1:], 0)], ends - np.arange(n))
+        for size in range(2, self.most + 1):
+            at = np.flatnonzero(room >= size)
+            if not len(at):
+                break
+            found = self.token_of((sums[at + size] - sums[at]) * back[at])
+            some = found >= 0
+            token[at[some]], length[at[some]] = found[some], size
+        at, step = np.cumsum(lengths) - lengths, np.arange(n) + length
+        starts = np.zeros(n + 1, bool)
+        while len(at):
+            starts[at] = True
+            at = step[at[step[at] < ends[at]]]
+        at = np.flatnonzero(starts)
+        return token[at], np.repeat(np.arange(len(lengths)), lengths)[at]
+
+    def merge_together(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact merging of many words at once: in each round every word merges its pair of lowest rank, the leftmost first."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank = np.full(len(ids), _NEVER)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._rank(ids[inner], ids[inner + 1])
+        while len(ids):
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
+            counts = np.diff(begins, append=len(ids))
+            least = np.minimum.reduceat(rank, begins)
+            over = np.repeat(least == _NEVER, counts)
+            if over.any():
+                done.append((ids[over], owner[over]))
+                ids, owner, rank = ids[~over], owner[~over], rank[~over]
+                counts, least = counts[least != _NEVER], least[least != _NEVER]
+                if not len(ids):
                     break
-            else:
-                return None
-        return out
+            at = np.flatnonzero(rank == np.repeat(least, counts))
+            at = at[np.flatnonzero(np.diff(owner[at], prepend=-1))]
+            ids[at] = self.made_by[rank[at]]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            place = (np.cumsum(stay) - 1)[at]
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            for i in (place, place[place > 0] - 1):
+                pair = (i + 1 < len(ids)) & (owner[np.minimum(i + 1, len(ids) - 1)] == owner[i])
+                i, last = i[pair], i[~pair]
+                rank[i], rank[last] = self._rank(ids[i], ids[i + 1]), _NEVER
+        if not done:
+            return ids, owner
+        ids, owner = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        return ids[order], owner[order]
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first, leftmost first; symbols without an id are dropped."""
-        symbols = [self.vocab.get(c + self.suffix if i == len(word) - 1 else c) for i, c in enumerate(word)]
-        ids = [s for s in symbols if s is not None]
+        """Exact merging of one long word with a heap, lowest rank first, leftmost first; symbols without an id are dropped."""
+        points = list(word.encode("latin-1"))
+        ids = [s for s in [*self.symbol[points[:-1]].tolist(), *self.last_symbol[points[-1:]].tolist()] if s >= 0]
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         heap = [(*self.merges[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
         heap = [(rank, i, z) for rank, z, i in heap]
@@ -128,51 +260,114 @@ class SpeculativeBpe:
                     heapq.heappush(heap, (r, k, made))
         return [t for t in ids if t >= 0]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: propose all, verify all adjacent pairs at once, merge those that fail."""
-        proposed = [self.propose(w) for w in words]
-        lengths = np.array([len(p) if p else 0 for p in proposed], dtype=np.int64)
-        flat = np.array([t for p in proposed if p for t in p], dtype=np.int64)
-        owner = np.repeat(np.arange(len(words)), lengths)
-        beside = np.flatnonzero(owner[1:] == owner[:-1])
-        failed = lengths == 0
+    def learn(self, words: list[str]) -> Iterator[list[int]]:
+        """The ids of each word: propose all, verify all adjacent pairs at once, merge those that fail."""
+        short = [w for w in words if 0 < len(w) <= _SHORT]
+        symbols, lengths = self.symbols(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if (symbols < 0).any():  # an alphabet that lacks letters
+            short = []
+        made = self.learn_together(symbols, lengths) if short else iter(())
+        for w in words:
+            yield next(made) if short and 0 < len(w) <= _SHORT else self.merge(w)
+
+    def learn_together(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[list[int]]:
+        flat, owner = self.propose(symbols, lengths)
+        failed = np.zeros(len(lengths), bool)
+        failed[owner[flat < 0]] = True
+        beside = np.flatnonzero((owner[1:] == owner[:-1]) & (flat[1:] >= 0) & (flat[:-1] >= 0))
         failed[owner[beside[~self.compatible(flat[beside], flat[beside + 1])]]] = True
-        for w, p, bad in zip(words, proposed, failed):
-            self.known[w] = tuple(self.merge(w) if bad else p)
+        owners = np.repeat(np.arange(len(lengths)), lengths)
+        again = failed[owners]
+        merged, of = self.merge_together(symbols[again], owners[again])
+        good = ~failed[owner]
+        flat, owner = np.concatenate([flat[good], merged]), np.concatenate([owner[good], of])
+        order = np.argsort(owner, kind="stable")
+        flat, cuts = flat[order].tolist(), np.searchsorted(owner[order], np.arange(len(lengths) + 1)).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield flat[lo:hi]
+
+    def entry(self, ids: list[int]) -> tuple:
+        """(ids as text, the tokens' strings, and the ids if they are wanted)."""
+        told = " ".join([self.digits[i] for i in ids]), " ".join([self.tokens[i] for i in ids])
+        return (*told, ids) if self.with_ids else told
 
-    def words(self, text: str) -> list[str | int]:
-        """The pre-tokenised words of a text in the tokenizer's byte alphabet; added tokens as their ids."""
+    def join(self, entries: list[tuple]) -> tuple:
+        """The entry of several one after another, each of which may be empty."""
+        ids, strings, *more = zip(*entries) if entries else ((), (), ())
+        told = " ".join(filter(None, ids)), " ".join(filter(None, strings))
+        return (*told, sum(more[0], [])) if self.with_ids else told
+
+    def parts(self, word: str) -> list[str | int]:
+        """The pre-tokenised parts of a raw word, a character a byte; added tokens as their ids."""
         out: list[str | int] = []
-        for part in self.split_added.split(text) if self.split_added else [text]:
+        for part in self.split_added.split(word) if self.split_added else [word]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out += [w for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
+                out += [w.translate(_BYTES) for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part))]
         return out
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
-        for text in texts:
-            words = self.words(text)
-            new = {w for w in words if type(w) is str and w not in self.known}
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = {w for w in words if type(w) is str}
-            if new:
-                self.learn(list(new))
-            ids: list[int] = []
-            for w in words:
-                ids.extend(self.known[w]) if type(w) is str else ids.append(w)
-            yield ids
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, which is what a tokenizer without a decoder does."""
-        return " ".join([self.tokens[i] for i in ids])
+    def split(self, words: list[str]) -> list[list[str | int]]:
+        """``parts`` of each word; those of plain characters are cut together by one pattern."""
+        plain = [w for w in words if _LATIN.fullmatch(w) and "<|" not in w]
+        joined = "\t".join(_PARTS.findall(" ".join(plain).lower()))
+        if not joined.isascii():
+            joined = joined.encode().decode("latin-1")
+        known = dict(zip(plain, [x.split("\t") for x in joined.split("\t \t")]))
+        return [known[w] if w in known else self.parts(w) for w in words]
+
+    @staticmethod
+    def _bring(keys: set, now: dict, before: dict) -> list:
+        """Have what the generation before knows of the keys in this one; the keys that neither knows."""
+        new = [k for k in keys if k not in now]
+        now.update([(k, before[k]) for k in new if k in before])
+        return [k for k in new if k not in now]
+
+    def remember(self, words: set[str]) -> None:
+        """Have entries of raw words at hand: all parts that are new are encoded together."""
+        if len(self.raw) + len(words) > REMEMBERED:
+            self.raw, self.before, self.known, self.known_before = {}, self.raw, {}, self.known
+        new = self._bring(words, self.raw, self.before)
+        split = self.split(new)
+        parts = self._bring(set(chain.from_iterable(split)), self.known, self.known_before)
+        self.known.update((p, self.entry([p])) for p in parts if type(p) is int)
+        parts = [p for p in parts if type(p) is str]
+        self.known.update(zip(parts, map(self.entry, self.learn(parts))))
+        raw, known = self.raw, self.known
+        for w, parts in zip(new, split):
+            if len(parts) == 1:
+                raw[w] = known[parts[0]]
+            elif len(parts) == 2 and not self.with_ids and known[parts[0]][0] and known[parts[1]][0]:
+                (i, t), (j, u) = known[parts[0]], known[parts[1]]
+                raw[w] = f"{i} {j}", f"{t} {u}"
+            else:
+                raw[w] = self.join([known[p] for p in parts])
+
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str, list[int] | None]]:
+        """For each text its number of tokens, their ids joined, their strings joined, and the ids if they are wanted.
+
+        A text is looked up by raw words. Neither composition nor lower-casing
+        looks over white space, no token spans it and no added token holds it,
+        so words can be encoded one by one, and each only once. ``str.split``
+        knows the tokenizer's white space, and four separators more.
+        """
+        split = [_WORDS.findall(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        self.remember(set().union(*split))
+        for words in split:
+            if not words:
+                yield 0, "", "", [] if self.with_ids else None
+                continue
+            ids, strings, *listed = zip(*map(self.raw.__getitem__, words))
+            if "" in ids:
+                ids, strings = list(filter(None, ids)), filter(None, strings)
+            joined = " ".join(ids)
+            yield joined.count(" ") + (joined != ""), joined, " ".join(strings), list(chain.from_iterable(listed[0])) if self.with_ids else None
 
 
 @lru_cache(2)
-def load(path: str) -> SpeculativeBpe:
+def load(path: str, with_ids: bool = True) -> SpeculativeBpe:
     """One encoder for a Python worker."""
-    return SpeculativeBpe(path)
+    return SpeculativeBpe(path, with_ids)
 
 
 def _resolve(vocabulary: str) -> str:
@@ -197,15 +392,17 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", doc_id: str =
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = load(_resolve(vocabulary))
+        coder = load(_resolve(vocabulary), with_ids)
+        gc.disable()  # nothing here makes cycles, and the words remembered are costly to look through
         for batch in batches:
-            rows = []
-            for key, ids in zip(batch["doc_id"], coder.encode_batch(batch["t"])):
-                row = (key, len(ids), _sha(" ".join(map(str, ids))), _sha(coder.decode(ids)))
-                rows.append((*row, ids) if with_ids else row)
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = batch["doc_id"].to_numpy()
-            yield out
+            for part in slices(batch, "t", TEXTS, CHARS):
+                rows = []
+                for n, ids, decoded, listed in coder.encode_batch(part["t"].tolist()):
+                    row = (None, n, _sha(ids), _sha(decoded))
+                    rows.append((*row, np.array(listed, np.int32)) if with_ids else row)
+                out = pd.DataFrame(rows, columns=names)
+                out["doc_id"] = part["doc_id"].to_numpy()
+                yield out
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

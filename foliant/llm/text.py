@@ -1,9 +1,12 @@
-"""Column expressions that several operators share."""
+"""Column expressions and ways through texts that several operators share."""
 
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +24,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
         F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
     )
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8, A-Z lowered; null has none. ``bytes`` knows just the contracts' white space and letters."""
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def slices(batch: pd.DataFrame, column: str, rows: int = 512, chars: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """``batch`` in parts of at most so many rows, and so many characters of ``column`` unless one row alone has more."""
+    block = np.cumsum(batch[column].str.len().fillna(0).to_numpy(np.int64)) // chars
+    cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(block, prepend=-1)), np.arange(0, len(batch), rows), [len(batch)]]))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield batch.iloc[lo:hi]
