@@ -1,4 +1,4 @@
-"""Document-order operators on lines and blocks: merging, sticky states and audit rules."""
+"""Document-order operators on lines: blocks, sticky states, merging, anomalies of markup."""
 
 from __future__ import annotations
 
@@ -76,8 +76,3 @@ def merge_references(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
     plain = F.when(F.col("_arrow"), F.regexp_replace(text, "^(<b><i>|<b>|<i>)?→(</i></b>|</b>|</i>)?", "→")).otherwise(F.col(text))
     lines = lines.select(key, F.when(headed, F.first(pos).over(inside)).otherwise(F.col(pos)).alias("block"), F.struct(F.col(pos).alias("p"), plain.alias("t")).alias("l"))
     return lines.groupBy(key, "block").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"]), "\n").alias("merged"))
-
-
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of ``changes`` replace those of ``base`` with their key, the others are added."""
-    return base.join(changes, key, "left_anti").unionByName(changes)

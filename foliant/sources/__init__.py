@@ -1 +1 @@
-"""Foliant: sources."""
+"""Foliant: readers and writers of catalogs, bodies, seeds and reports."""
