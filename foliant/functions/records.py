@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import fixed
 from foliant.functions.text import (
-    PY_SPACE, SPACE, fold, fold_accents, fold_text, key_text, leading_id, match_key, sentence_case, title_separators, trim, typography, unquote_field, version_suffix, without_version,
+    PY_SPACE, SPACE, fold, fold_accents, fold_text, key_text, leading_id, let, match_key, sentence_case, title_separators, trim, typography, unquote_field, version_suffix, without_version,
 )
 
 NOTION_ARRAY = "array<string>"
@@ -27,13 +27,16 @@ def _parts(x: Column, mark: str = ",", space: str = SPACE) -> Column:
 
 def split_name(filename: Column) -> Column:
     """(author, themes) of a file name as the catalog has it: author_themes, where DE_ takes the next part with it and EN.UNIV. gives way to it."""
-    parts = F.split(filename, "_", -1)
-    second = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-    rest = lambda n: F.array_join(F.slice(parts, n, F.greatest(F.size(parts), F.lit(1))), "_")
-    first = F.when(parts[0] == "", fixed.NO_AUTHOR).otherwise(trim(parts[0]))
-    merges, gives = (F.upper(first) == "DE") & (second != ""), (F.upper(first) == "EN.UNIV.") & (second != "")
-    author = F.when(merges, F.concat(F.lit("DE_"), trim(second))).when(gives, trim(second)).otherwise(first)
-    return F.struct(author.alias("author"), F.when(merges | gives, rest(3)).otherwise(rest(2)).alias("themes"))
+
+    def told(parts: Column) -> Column:
+        second = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
+        rest = lambda n: F.array_join(F.slice(parts, n, F.greatest(F.size(parts), F.lit(1))), "_")
+        first = F.when(parts[0] == "", fixed.NO_AUTHOR).otherwise(trim(parts[0]))
+        merges, gives = (F.upper(first) == "DE") & (second != ""), (F.upper(first) == "EN.UNIV.") & (second != "")
+        author = F.when(merges, F.concat(F.lit("DE_"), trim(second))).when(gives, trim(second)).otherwise(first)
+        return F.struct(author.alias("author"), F.when(merges | gives, rest(3)).otherwise(rest(2)).alias("themes"))
+
+    return let(F.split(filename, "_", -1), told)
 
 
 def author_key(x: Column) -> Column:
@@ -83,17 +86,17 @@ def parse_notions(x: Column) -> Column:
     return F.filter(F.transform(_parts(F.coalesce(x, F.lit(""))), lambda p: typography(p)), lambda p: p != "")
 
 
-def record(id_raw: Column, filename: Column, analysis: Column, notions: Column) -> list[Column]:
-    """The columns of a text record from the raw fields of a catalog row."""
-    number, name, told = leading_id(trim(id_raw)), unquote_field(filename), unquote_field(analysis)
-    split = split_name(name)
-    themes = display_themes(without_version(split["themes"]))
-    parsed = parse_analysis(told, themes)
-    return [
-        number.alias("id"), name.alias("filename"), display_author(split["author"], number).alias("author"), themes.alias("themes"),
-        version_suffix(split["themes"]).alias("suffix"), display_title(parsed["title"], number).alias("title"), typography(parsed["thesis"]).alias("thesis"),
-        typography(parsed["summary"]).alias("summary"), parse_notions(unquote_field(notions)).alias("notions"), told.alias("raw_analysis"),
-    ]
+def text_records(rows: DataFrame) -> DataFrame:
+    """Text records from catalog rows (pos, id_raw, filename, analysis, notions); one projection a step, so that no expression is repeated."""
+    raw = rows.select("pos", leading_id(trim(F.col("id_raw"))).alias("id"), unquote_field(F.col("filename")).alias("filename"), unquote_field(F.col("analysis")).alias("raw_analysis"), unquote_field(F.col("notions")).alias("notions"))
+    named = raw.withColumn("n", let(F.col("filename"), split_name))
+    named = named.select("*", F.col("n.author").alias("_author"), F.col("n.themes").alias("_themes")).drop("n")
+    told = named.withColumns({"themes": display_themes(without_version(F.col("_themes"))), "suffix": version_suffix(F.col("_themes"))})
+    parsed = told.withColumn("a", parse_analysis(F.col("raw_analysis"), F.col("themes")))
+    return parsed.select(
+        "pos", "id", "filename", display_author(F.col("_author"), F.col("id")).alias("author"), "themes", "suffix", display_title(F.col("a.title"), F.col("id")).alias("title"),
+        typography(F.col("a.thesis")).alias("thesis"), typography(F.col("a.summary")).alias("summary"), parse_notions(F.col("notions")).alias("notions"), "raw_analysis",
+    )
 
 
 def official_notion(x: Column) -> Column:
@@ -149,16 +152,21 @@ def parse_header(name: Column, plain_name: bool) -> Column:
 
     A name without _ has no author and is all themes if ``plain_name``, else it gives nulls.
     """
-    tight, pattern = F.replace(F.replace(name, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")), r"^[0-9]+\.([^_]+)_(.*)$"
-    loose = F.split(trim(F.replace(name, F.lit("\n"), F.lit(" ")), PY_SPACE), "_", 2)
-    two, fits = F.size(loose) == 2, tight.rlike(pattern)
-    nothing = F.lit("" if plain_name else None).cast("string")
-    author = F.when(fits, F.regexp_extract(tight, pattern, 1)).when(two, F.regexp_replace(loose[0], r"(?s)^[^.]*\.", "")).otherwise(nothing)
-    themes = F.when(fits, F.regexp_extract(tight, pattern, 2)).when(two, F.try_element_at(loose, F.lit(2))).otherwise(name if plain_name else nothing)
-    author, themes = trim(author, PY_SPACE), trim(themes, PY_SPACE)
-    merges = (F.upper(author) == "DE") & themes.contains("_")
-    more = F.split(themes, "_", 2)
-    return F.struct(F.when(merges, F.concat(F.lit("DE "), more[0])).otherwise(author).alias("author"), F.when(merges, F.try_element_at(more, F.lit(2))).otherwise(themes).alias("themes"))
+    pattern, nothing = r"^[0-9]+\.([^_]+)_(.*)$", F.lit("" if plain_name else None).cast("string")
+
+    def cut(name: Column) -> Column:
+        tight = F.replace(F.replace(name, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+        loose = F.split(trim(F.replace(name, F.lit("\n"), F.lit(" ")), PY_SPACE), "_", 2)
+        two, fits = F.size(loose) == 2, tight.rlike(pattern)
+        author = F.when(fits, F.regexp_extract(tight, pattern, 1)).when(two, F.regexp_replace(loose[0], r"(?s)^[^.]*\.", "")).otherwise(nothing)
+        themes = F.when(fits, F.regexp_extract(tight, pattern, 2)).when(two, F.try_element_at(loose, F.lit(2))).otherwise(name if plain_name else nothing)
+        return F.struct(trim(author, PY_SPACE).alias("a"), trim(themes, PY_SPACE).alias("t"))
+
+    def merged(x: Column) -> Column:
+        more, merges = F.split(x["t"], "_", 2), (F.upper(x["a"]) == "DE") & x["t"].contains("_")
+        return F.struct(F.when(merges, F.concat(F.lit("DE "), more[0])).otherwise(x["a"]).alias("author"), F.when(merges, F.try_element_at(more, F.lit(2))).otherwise(x["t"]).alias("themes"))
+
+    return let(let(name, cut), merged)
 
 
 def seed_key(author: Column, themes: Column) -> Column:
@@ -187,24 +195,33 @@ def parse_seed_block(lines: Column) -> Column:
     The last lines that hold a notion are its notions: read from the bottom up,
     each put before those found. What is left of the summary loses a notion at its end.
     """
-    at = F.array_position(F.transform(lines, lambda x: x.contains("Titre:")), True)
-    header = trim(F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), " "), PY_SPACE)
-    told = F.array_join(F.slice(lines, F.greatest(at, F.lit(1)).cast("int"), F.size(lines)), "\n")
-    rest = F.filter(F.split(_labelled(told, "Résumé:", None), "\n", -1), lambda x: trim(x, PY_SPACE) != "")
     holds = lambda w: F.exists(notions_literal(), lambda n: match_key(w, spell_ae=False).contains(match_key(n, spell_ae=False)))
-    other = F.transform(rest, lambda x, i: F.when(F.exists(F.split(x, ",", -1), holds), 0).otherwise(i + 1))
-    last = F.coalesce(F.array_max(other), F.lit(0)).cast("int")
-    spelt = lambda p: F.coalesce(official_notion(p), p)
-    parts = lambda x: F.transform(F.split(x, ",", -1), lambda p: F.regexp_replace(trim(p, PY_SPACE), r"^\.+|\.+\z", ""))
-    listed = F.flatten(F.transform(F.reverse(F.slice(rest, last + 1, F.size(rest) + 1)), parts))
-    notions = F.reverse(F.array_distinct(F.transform(F.filter(listed, lambda p: p != ""), spelt)))
-    return F.when(
-        at > 0,
-        F.struct(
-            header.alias("header"), _labelled(told, "Titre:", "Thèse:").alias("title"), _labelled(told, "Thèse:", "Résumé:").alias("thesis"),
-            without_last_notion(F.array_join(F.slice(rest, 1, last), " ")).alias("summary"), notions.alias("notions"),
-        ),
-    )
+    part = lambda p: F.regexp_replace(trim(p, PY_SPACE), r"^\.+|\.+\z", "")
+
+    def ending(rest: Column) -> Column:
+        other = F.transform(rest, lambda x, i: F.when(F.exists(F.split(x, ",", -1), holds), 0).otherwise(i + 1))
+        return F.struct(rest.alias("rest"), F.coalesce(F.array_max(other), F.lit(0)).cast("int").alias("last"))
+
+    def notions(x: Column) -> Column:
+        listed = F.flatten(F.transform(F.reverse(F.slice(x["rest"], x["last"] + 1, F.size(x["rest"]) + 1)), lambda line: F.transform(F.split(line, ",", -1), part)))
+        spelt = F.transform(F.filter(listed, lambda p: p != ""), lambda p: F.coalesce(official_notion(p), p))
+        summary = without_last_notion(F.array_join(F.slice(x["rest"], 1, x["last"]), " "))
+        return F.struct(summary.alias("summary"), F.reverse(F.array_distinct(spelt)).alias("notions"))
+
+    def card(x: Column) -> Column:
+        lines, at = x["lines"], x["at"]
+        header = trim(F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0))), " "), PY_SPACE)
+        told = F.array_join(F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines)), "\n")
+
+        def read(told: Column) -> Column:
+            rest = F.filter(F.split(_labelled(told, "Résumé:", None), "\n", -1), lambda line: trim(line, PY_SPACE) != "")
+            end = let(let(rest, ending), notions)
+            return let(end, lambda e: F.struct(header.alias("header"), _labelled(told, "Titre:", "Thèse:").alias("title"), _labelled(told, "Thèse:", "Résumé:").alias("thesis"), e["summary"].alias("summary"), e["notions"].alias("notions")))
+
+        return F.when(at > 0, let(told, read))
+
+    at = F.array_position(F.transform(lines, lambda x: x.contains("Titre:")), True).cast("int")
+    return let(F.struct(lines.alias("lines"), at.alias("at")), card)
 
 
 def without_last_notion(summary: Column) -> Column:

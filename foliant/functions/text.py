@@ -33,6 +33,11 @@ def _base_letters() -> tuple[str, str]:
 ACCENTED, PLAIN = _base_letters()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which the plan then holds and computes once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(x: Column, space: str = SPACE) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(x, rf"^{space}+|{space}+\z", "")
@@ -77,9 +82,11 @@ def strip_html(x: Column) -> Column:
 
 def unquote_field(x: Column) -> Column:
     """A catalog field without blanks and outer quotes, doubled quotes made single; null is empty. A lone quote is its own outer pair."""
-    x = trim(F.coalesce(x, F.lit("")))
-    inner = F.substring(x, F.lit(2), F.greatest(F.length(x) - 2, F.lit(0)))
-    return trim(F.replace(F.when(x.startswith('"') & x.endswith('"'), inner).otherwise(x), F.lit('""'), F.lit('"')))
+
+    def inner(f: Column) -> Column:
+        return F.when(f.startswith('"') & f.endswith('"'), F.substring(f, F.lit(2), F.greatest(F.length(f) - 2, F.lit(0)))).otherwise(f)
+
+    return trim(F.replace(let(trim(F.coalesce(x, F.lit(""))), inner), F.lit('""'), F.lit('"')))
 
 
 def apostrophes(x: Column) -> Column:
@@ -113,7 +120,7 @@ def spaced_punctuation(x: Column, keep_entities: bool = True) -> Column:
 def outside_tags(x: Column, rule) -> Column:
     """``rule`` on the text between tags; tags, and a < that opens none, stay as they are."""
     parts = F.regexp_extract_all(x, F.lit("<[^>]*>|[^<]+|<"), F.lit(0))
-    return F.when(x.contains("<"), F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(rule(p))), "")).otherwise(rule(x))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<"), p).otherwise(rule(p))), "")
 
 
 def typography(x: Column, keep_entities: bool = True) -> Column:
@@ -139,34 +146,40 @@ def _each(x: Column, words: list[str], change) -> Column:
     """``change`` on each of ``words`` (whole words, in either case) in x."""
     some = f"(?iu)(?:{'|'.join(map(_bounded, words))})"
     parts = F.split(F.regexp_replace(x, some, "\u0001$0\u0001"), "\u0001", -1)
-    changed = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")
-    return F.when(x.rlike(some), changed).otherwise(x)
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")
 
 
 def sentence_case(x: Column) -> Column:
     """A title all in capitals is set in lower case, but for its first letter, known names and Roman numerals. Null is empty."""
-    x = F.coalesce(x, F.lit(""))
-    letters = F.regexp_replace(x, r"[^a-zA-Z\x{C0}-\x{17F}]", "")
-    low = F.lower(x)
-    head = F.regexp_extract(low, r"(?s)^([^a-zA-Z\x{C0}-\x{17F}]*)", 1)
-    out = F.concat(head, _upper_first(F.substring(low, F.length(head) + 1, F.length(low))))
     capital = lambda p: F.array_join(F.transform(F.split(p, "-"), _upper_first), "-")
-    for several in (True, False):
-        out = _each(out, [n for n in fixed.PROPER_NOUNS if (" " in n) == several], capital)
-    out = _each(out, list(fixed.ROMAN), F.upper)
-    return F.when((letters == "") | (letters != F.upper(letters)), x).otherwise(out)
+
+    def lowered(x: Column) -> Column:
+        low = F.lower(x)
+        head = F.regexp_extract(low, r"(?s)^([^a-zA-Z\x{C0}-\x{17F}]*)", 1)
+        out = F.concat(head, _upper_first(F.substring(low, F.length(head) + 1, F.length(low))))
+        for several in (True, False):
+            out = _each(out, [n for n in fixed.PROPER_NOUNS if (" " in n) == several], capital)
+        return _each(out, list(fixed.ROMAN), F.upper)
+
+    def told(x: Column) -> Column:
+        letters = F.regexp_replace(x, r"[^a-zA-Z\x{C0}-\x{17F}]", "")
+        return F.when((letters == "") | (letters != F.upper(letters)), x).otherwise(lowered(x))
+
+    return let(F.coalesce(x, F.lit("")), told)
 
 
 def title_separators(x: Column, text_id: Column) -> Column:
     """Parts of a list title (parted by /, else by ;, else for some ids by commas) with a capital each, joined by dashes."""
-    x = F.coalesce(x, F.lit(""))
 
-    def joined(mark: str) -> Column:
+    def joined(x: Column, mark: str) -> Column:
         parts = F.filter(F.transform(F.split(x, mark), lambda p: trim(p)), lambda p: p != "")
         return F.array_join(F.transform(parts, _upper_first), " – ")
 
-    by_comma = x.contains(",") & F.coalesce(text_id.cast("long").isin(*fixed.LIST_TITLE_IDS), F.lit(False))
-    return F.when(x.contains("/"), joined("/")).when(x.contains(";"), joined(";")).when(by_comma, joined(",")).otherwise(x)
+    def told(x: Column) -> Column:
+        by_comma = x.contains(",") & F.coalesce(text_id.cast("long").isin(*fixed.LIST_TITLE_IDS), F.lit(False))
+        return F.when(x.contains("/"), joined(x, "/")).when(x.contains(";"), joined(x, ";")).when(by_comma, joined(x, ",")).otherwise(x)
+
+    return let(F.coalesce(x, F.lit("")), told)
 
 
 def page_number_line(x: Column) -> Column:

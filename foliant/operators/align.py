@@ -118,7 +118,7 @@ def markup_anomalies(bodies: DataFrame, html: str = "html") -> DataFrame:
     """doc, section, pos, type, message, text, details: empty paragraphs and elements with a style, one row each."""
     found = anomalies(bodies, "doc", html).withColumn("pos", F.monotonically_increasing_id())
     name = F.lower(F.regexp_extract("found", "^<([A-Za-z0-9]+)", 1))
-    style = F.regexp_extract("found", r"""(?i)\sstyle\s*=\s*["']?([^"'>]*)""", 1)
+    style = F.regexp_replace(F.regexp_extract("found", r"""(?is)\sstyle\s*=\s*("[^"]*"|'[^']*'|[^\s>"']*)$""", 1), "^[\"']|[\"']$", "")
     styled = F.concat(F.lit("Style en ligne parasite détecté sur `"), name, F.lit('` : `style="'), style, F.lit('"`'))
     message = F.when(F.col("type") == "inline_style", styled).otherwise("Paragraphe vide `<p>` ou contenant uniquement des espaces.")
     return _told(found, 0, F.col("type"), message, excerpt(F.col("found"), 80))

@@ -11,7 +11,7 @@ _ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*?"""
 #: Rules whose every match is an anomaly.
 ANOMALIES = {
     "empty_element": r"(?i)<p(?:\s" + _ATTRIBUTES + r")?>(?:\s|\x{A0}|&nbsp;)*</p\s*>",
-    "inline_style": r"(?i)<[a-z]" + _ATTRIBUTES + r"\sstyle(?:\s*=|[\s/>])",
+    "inline_style": r"(?i)<[a-z]" + _ATTRIBUTES + r"""\sstyle(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*)|[\s/>])""",
 }
 
 

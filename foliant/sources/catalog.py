@@ -39,8 +39,7 @@ def catalog_header(lines: DataFrame) -> DataFrame:
 
 def text_records(rows: DataFrame) -> DataFrame:
     """The records of catalog rows, in order of id, rows of the same id in the file's order (column ``pos``)."""
-    made = rows.select("pos", *R.record(F.col("id_raw"), F.col("filename"), F.col("analysis"), F.col("notions")))
-    return made.orderBy("id", "pos")
+    return R.text_records(rows).orderBy("id", "pos")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:

