@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,12 +50,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.__dict__["_foliant_path"] = path
+    for tables in _scopes:
+        tables.append((spark, path))
     return written
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a ``uid`` that is the same each time it is read.
+
+    Files that are only scanned give the same ids in every scan; anything else
+    is written first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().nodeName()
+    out = df.select(F.monotonically_increasing_id().alias("uid"), "*")
+    return out if plan == "LogicalRelation" else materialize(out, name)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nothing refers to any more removed now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Collects the tables that ``materialize`` writes meanwhile and that aren't discarded by then; ``release`` deletes them."""
+    _scopes.append([])
+    try:
+        yield _scopes[-1]
+    finally:
+        _scopes.pop()
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete the tables of a scope, once what reads them has been written."""
+    while tables:
+        remove_path(*tables.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` wrote for ``df``; call it only when no plan reads it any more."""
-    remove_path(df.sparkSession, df.__dict__["_foliant_path"])
+    path = df.__dict__["_foliant_path"]
+    remove_path(df.sparkSession, path)
+    for tables in _scopes:
+        tables[:] = [t for t in tables if t[1] != path]
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
