@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.tables import ODD, Table
 from foliant.llm.text import WORD, slices, whole
 from foliant.runtime import spread
 
@@ -32,8 +33,6 @@ REMEMBERED = 250_000
 _NEVER = np.int64(1 << 40)
 #: Symbols up to which words are proposed and merged together with others.
 _SHORT = 48
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_NO_KEY = np.uint64((1 << 64) - 1)
 _BASE, _BASE_INVERSE = np.uint64(0x2545F4914F6CDD1D), np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _WORDS = re.compile(WORD)
 #: Words that composition leaves alone, and how the tokenizer cuts them once they are in lower case.
@@ -46,35 +45,6 @@ _BYTES = {c: b for b, c in _ALPHABET.items()}
 TEXTS, CHARS = 512, 1 << 21
 
 
-class _Table:
-    """Whole numbers by 64-bit key, looked up for arrays of keys: two arrays of slots, the second for keys whose first slot is taken."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 19):
-        keys, values, self.shift = keys.astype(np.uint64), values.astype(np.int64), np.uint64(64 - bits)
-        self.tables = []
-        for odd in _ODD:
-            slot = (keys * odd) >> self.shift
-            _, first = np.unique(slot, return_index=True)
-            held, value = np.full(1 << bits, _NO_KEY), np.full(1 << bits, -1)
-            held[slot[first]], value[slot[first]] = keys[first], values[first]
-            self.tables.append((odd, held, value))
-            left = np.ones(len(keys), bool)
-            left[first] = False
-            keys, values = keys[left], values[left]
-            if not len(keys):
-                break
-        else:
-            raise ValueError("keys don't fit the table")
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key, -1 where there is none."""
-        out = np.full(len(keys), -1)
-        for odd, held, value in self.tables:
-            slot = (keys * odd) >> self.shift
-            out = np.where(held[slot] == keys, value[slot], out)
-        return out
-
-
 class SpeculativeBpe:
     """Encoder and decoder for a tokenizers file with a BPE model whose merges make the ids in ascending order."""
 
@@ -105,7 +75,7 @@ class SpeculativeBpe:
                 left[z], right[z], birth[z] = x, y, rank
         self.size, self.left, self.right, self.birth = size, left, right, birth
         _, once = np.unique(keys := np.array(keys, np.int64), return_index=True)
-        self.rank_of = _Table(keys[once], once)
+        self.rank_of = Table(keys[once], once)
         self.made_by = np.array([self.merges[k // size, k % size][1] for k in keys.tolist()], np.int64)
         made = np.flatnonzero(birth >= 0)
         sound = np.ones(size, bool)
@@ -125,7 +95,7 @@ class SpeculativeBpe:
         chars = [chr(_ALPHABET[b]) for b in range(256)]
         self.symbol = np.array([self.vocab.get(c, -1) for c in chars])
         self.last_symbol = np.array([self.vocab.get(c + self.suffix, -1) for c in chars])
-        self.weight = (np.arange(1, self.size + 1, dtype=np.uint64) * _ODD[0]) ^ (np.arange(self.size, dtype=np.uint64) * _ODD[1] >> np.uint64(17))
+        self.weight = (np.arange(1, self.size + 1, dtype=np.uint64) * ODD[0]) ^ (np.arange(self.size, dtype=np.uint64) * ODD[1] >> np.uint64(17))
         start, n = self.weight.copy(), np.ones(self.size, np.int64)
         powers = np.cumprod(np.full(4096, _BASE))
         first, second = np.arange(self.size), np.full(self.size, -1)
@@ -136,7 +106,7 @@ class SpeculativeBpe:
                 first[z], second[z] = first[x], second[x] if n[x] > 1 else first[y]
         ids = np.array(sorted(self.usable.values()))
         self.single, ids = ids[n[ids] == 1], ids[n[ids] > 1]
-        self.token_of, self.most = _Table(start[ids], ids), int(n[ids].max(initial=1))
+        self.token_of, self.most = Table(start[ids], ids), int(n[ids].max(initial=1))
         ordinal = np.full(self.size, -1)
         symbols = np.unique(np.concatenate([self.symbol, self.last_symbol]))
         ordinal[symbols[symbols >= 0]] = np.arange((symbols >= 0).sum())
