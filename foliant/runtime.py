@@ -56,13 +56,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` with a ``uid`` that is the same each time it is read.
+    """uid, row: a number that is the same each time it is read, and the row of ``df`` as a struct.
 
     Files that are only scanned give the same ids in every scan; anything else
     is written first.
     """
     plan = df._jdf.queryExecution().optimizedPlan().nodeName()
-    out = df.select(F.monotonically_increasing_id().alias("uid"), "*")
+    out = df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"))
     return out if plan == "LogicalRelation" else materialize(out, name)
 
 
