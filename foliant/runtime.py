@@ -50,8 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.__dict__["_foliant_path"] = path
-    for tables in _scopes:
-        tables.append((spark, path))
+    track(spark, path)
     return written
 
 
@@ -72,6 +71,23 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def track(spark: SparkSession, path: str) -> None:
+    """Count a written path among the tables of the scopes that are open."""
+    for tables in _scopes:
+        tables.append((spark, path))
+
+
+@contextmanager
+def configured(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session for what is planned meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 _scopes: list[list[tuple[SparkSession, str]]] = []
 
 
