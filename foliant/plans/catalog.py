@@ -82,7 +82,7 @@ def _held(term: str) -> str:
 )
 def search_and_rank(spark, sf_dir):
     found = search.search_texts(texts_of(table(spark, sf_dir, "documents")), '"er" la on')
-    ranked = search.navigate(found, "author", [F.desc("score"), "id"], "id")
+    ranked = search.navigate_large(found.select("author", "score", "id"), "author", [F.desc("score"), "id"], "id")
     return ranked.select(F.col("id").alias("doc_id"), F.col("author").alias("source"), "score", "position", "prev_id", "next_id")
 
 

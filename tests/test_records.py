@@ -163,3 +163,11 @@ def test_bodies_listings_and_pages(spark, tmp_path):
     both = sources.union_files(texts.select("filename"), texts.select("filename"))
     assert both.count() == 2 and catalog.base_name(texts, "none.pdf").count() == 1
     assert catalog.sample(texts, "filename", 1).collect() == catalog.sample(texts, "filename", 1).collect()
+
+
+def test_large_groups_navigate_alike(spark):
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "g int, s int, id int").repartition(5)
+    columns = ["g", "id", "position", "total", "prev_id", "next_id", "has_prev", "has_next"]
+    a, b = (sorted((tuple(r) for r in f(df, "g", [F.desc("s"), "id"], "id").select(columns).collect()), key=str) for f in (search.navigate, search.navigate_large))
+    assert a == b and search.navigate_large(df.limit(0), "g", ["id"], "id").collect() == []
