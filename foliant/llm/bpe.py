@@ -24,12 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.memory import give_back
 from foliant.llm.tables import ODD, Table
 from foliant.llm.text import WORD, slices, whole
 from foliant.runtime import spread
 
 #: Words remembered by a Python worker, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 130_000
 _NEVER = np.int64(1 << 40)
 #: Symbols up to which words are proposed and merged together with others.
 _SHORT = 48
@@ -42,7 +43,7 @@ _PARTS = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹
 _ALPHABET = {b: b for b in range(256)} | {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _BYTES = {c: b for b, c in _ALPHABET.items()}
 #: Texts encoded at a time, and their characters together unless one alone has more.
-TEXTS, CHARS = 512, 1 << 21
+TEXTS, CHARS = 512, 1 << 20
 
 
 class SpeculativeBpe:
@@ -256,16 +257,21 @@ class SpeculativeBpe:
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             yield flat[lo:hi]
 
+    def forget(self) -> None:
+        """Forget all words."""
+        self.known, self.raw = {}, {}
+        self.known_before, self.before = self.known, self.raw
+
     def entry(self, ids: list[int]) -> tuple:
-        """(ids as text, the tokens' strings, and the ids if they are wanted)."""
+        """(ids as text, the tokens' strings, and the ids as bytes if they are wanted)."""
         told = " ".join([self.digits[i] for i in ids]), " ".join([self.tokens[i] for i in ids])
-        return (*told, ids) if self.with_ids else told
+        return (*told, np.array(ids, np.int32).tobytes()) if self.with_ids else told
 
     def join(self, entries: list[tuple]) -> tuple:
         """The entry of several one after another, each of which may be empty."""
         ids, strings, *more = zip(*entries) if entries else ((), (), ())
         told = " ".join(filter(None, ids)), " ".join(filter(None, strings))
-        return (*told, sum(more[0], [])) if self.with_ids else told
+        return (*told, b"".join(more[0]) if more else b"") if self.with_ids else told
 
     def parts(self, word: str) -> list[str | int]:
         """The pre-tokenised parts of a raw word, a character a byte; added tokens as their ids."""
@@ -313,7 +319,7 @@ class SpeculativeBpe:
             else:
                 raw[w] = self.join([known[p] for p in parts])
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str, list[int] | None]]:
+    def encode_batch(self, texts: list[str]) -> Iterator[tuple[int, str, str, np.ndarray | None]]:
         """For each text its number of tokens, their ids joined, their strings joined, and the ids if they are wanted.
 
         A text is looked up by raw words. Neither composition nor lower-casing
@@ -325,19 +331,21 @@ class SpeculativeBpe:
         self.remember(set().union(*split))
         for words in split:
             if not words:
-                yield 0, "", "", [] if self.with_ids else None
+                yield 0, "", "", np.zeros(0, np.int32) if self.with_ids else None
                 continue
             ids, strings, *listed = zip(*map(self.raw.__getitem__, words))
             if "" in ids:
                 ids, strings = list(filter(None, ids)), filter(None, strings)
             joined = " ".join(ids)
-            yield joined.count(" ") + (joined != ""), joined, " ".join(strings), list(chain.from_iterable(listed[0])) if self.with_ids else None
+            yield joined.count(" ") + (joined != ""), joined, " ".join(strings), np.frombuffer(b"".join(listed[0]), np.int32) if self.with_ids else None
 
 
 @lru_cache(2)
 def load(path: str, with_ids: bool = True) -> SpeculativeBpe:
     """One encoder for a Python worker."""
-    return SpeculativeBpe(path, with_ids)
+    coder = SpeculativeBpe(path, with_ids)
+    give_back()
+    return coder
 
 
 def _resolve(vocabulary: str) -> str:
@@ -369,10 +377,12 @@ def encode(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", doc_id: str =
                 rows = []
                 for n, ids, decoded, listed in coder.encode_batch(part["t"].tolist()):
                     row = (None, n, _sha(ids), _sha(decoded))
-                    rows.append((*row, np.array(listed, np.int32)) if with_ids else row)
+                    rows.append((*row, listed) if with_ids else row)
                 out = pd.DataFrame(rows, columns=names)
                 out["doc_id"] = part["doc_id"].to_numpy()
                 yield out
+        coder.forget()  # what few texts share of it is soon learned again, and the worker may stay idle for long
+        give_back()
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

@@ -3,7 +3,7 @@
 Every normalised text is cut at content-defined boundaries. Chunks meet under
 a 64-bit fingerprint and are told apart there by their SHA-256 and length, so
 that a chunk's identifier (fingerprint, variant) is verified and never merges
-two different chunks. A text becomes a recipe, the ordered list of its chunks'
+two different chunks; only chunks whose fingerprint collides need a join. A text becomes a recipe, the ordered list of its chunks'
 identifiers; equal recipes mean equal texts. Texts are read once and never
 shuffled: only recipes move, some 20 bytes for about 700 characters.
 """
@@ -35,9 +35,12 @@ def chunk_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return materialize(rows.select("uid", "doc_id", F.sha2("norm", 256).alias("text_sha256"), chunks.alias("chunks")), "recipes")
 
 
-def chunk_dictionary(refs: DataFrame) -> DataFrame:
-    """For each fingerprint the sorted distinct (len, sha) that share it: one, unless the fingerprint collides."""
-    return refs.groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("len", "sha"))).alias("variants"))
+def colliding_chunks(refs: DataFrame) -> DataFrame:
+    """fp and the sorted distinct (len, sha) of fingerprints that several chunks share: none, but for collisions.
+
+    Counted map-side first, so that a chunk of many texts meets in few rows.
+    """
+    return refs.groupBy("fp").agg(F.sort_array(F.collect_set(F.struct("len", "sha"))).alias("variants")).where(F.size("variants") > 1)
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,21 +54,20 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     base = chunk_table(docs, doc_id, text)
     refs = base.select("uid", F.posexplode("chunks").alias("pos", "c")).select("uid", "pos", "c.fp", "c.len", "c.sha")
-    variant = F.array_position("variants", F.struct("len", "sha"))
-    recipes = (
-        refs.join(chunk_dictionary(refs), "fp")
-        .select("uid", F.struct("pos", "fp", variant.alias("v")).alias("ref"))
-        .groupBy("uid")
-        .agg(F.sort_array(F.collect_list("ref")).alias("refs"))
-        .select("uid", F.transform("refs", lambda r: F.struct(r["fp"].alias("fp"), r["v"].alias("v"))).alias("recipe"))
-    )
-    nothing = F.array().cast("array<struct<fp:bigint,v:bigint>>")
-    known = materialize(
-        base.drop("chunks").join(recipes, "uid", "left").withColumn("recipe", F.coalesce("recipe", nothing)), "known"
-    )
+    shared = materialize(colliding_chunks(refs), "collisions")
+    if shared.isEmpty():
+        known = base.withColumn("recipe", F.transform("chunks", lambda c: F.struct(c["fp"].alias("fp"), F.lit(1).cast("long").alias("v"))))
+    else:
+        variant = F.array_position("variants", F.struct("len", "sha"))
+        told = refs.join(shared.hint("merge"), "fp").select("uid", F.struct("pos", variant.alias("v")).alias("e")).groupBy("uid").agg(F.map_from_entries(F.collect_list("e")).alias("told"))
+        recipe = F.transform("chunks", lambda c, i: F.struct(c["fp"].alias("fp"), F.coalesce(F.try_element_at("told", i), F.lit(1).cast("long")).alias("v")))
+        known = base.join(told, "uid", "left").withColumn("recipe", recipe)
+    known = materialize(known.select("uid", "doc_id", "text_sha256", "recipe"), "known")
+    discard(shared)
     discard(base)
     groups = known.groupBy("recipe").agg(F.max(F.struct("doc_id", "uid")).alias("keep"), F.count("*").alias("group_size"))
-    return known.join(groups, "recipe").select(
+    groups = materialize(groups, "groups")  # so that the join below can split a large group's rows
+    return known.join(groups.hint("merge"), "recipe").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

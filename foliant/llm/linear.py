@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from foliant.llm.memory import give_back
 from foliant.llm.text import WORD
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +76,8 @@ class Rows:
         order = np.argsort(slots, kind="stable")
         owner = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(max(1, self.n))), lengths)
         self.dot = _Sums(lengths, slots, values)
-        self.back = _Sums(np.bincount(slots, minlength=self.dims), owner[order], values[order])
+        owner = owner[order]
+        self.back = _Sums(np.bincount(slots, minlength=self.dims), owner, values[order])
 
 
 def fit(rows: Rows, y: np.ndarray, hinge: bool, use: np.ndarray | None = None, steps: int = 120, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -101,19 +103,22 @@ def on_executor(sample: DataFrame, label: str, bits: int, chars: tuple[int, ...]
     order of their own, and fits, so that the driver only sees the models.
     """
 
+    small = np.min_scalar_type((1 << bits) - 1)
+
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pairs = [features(t.lower() if lower else t, bits, chars, words) for t in batch["t"]]
-            yield pd.DataFrame({"label": batch[label].astype(str), "fold": batch["fold"], "s": [p[0].astype("<i4").tobytes() for p in pairs], "v": [p[1].astype("<f4").tobytes() for p in pairs]})
+            yield pd.DataFrame({"label": batch[label].astype(str), "fold": batch["fold"], "s": [p[0].astype(small).tobytes() for p in pairs], "v": [p[1].astype("<f4").tobytes() for p in pairs]})
+        give_back()
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        small = np.min_scalar_type((1 << bits) - 1)
-        got = [(f, y, np.frombuffer(s, "<i4").astype(small), np.frombuffer(v, "<f4")) for b in batches for f, y, s, v in zip(b["fold"], b["label"], b["s"], b["v"])]
-        got.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+        got = [(f, y, np.frombuffer(s, small), np.frombuffer(v, "<f4")) for b in batches for f, y, s, v in zip(b["fold"], b["label"], b["s"], b["v"])]
+        got.sort(key=lambda r: (r[0], r[1], len(r[2]), zlib.crc32(r[2]), zlib.crc32(r[3])))
         folds, labels = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], dtype=object)
         pairs = [r[2:] for r in got]
         got.clear()
         yield pd.DataFrame({"model": list(learn(Rows(pairs, bits), labels, folds))}, dtype=object)
+        give_back()
 
     rows = sample.select("t", "fold", label).repartition(sample.sparkSession.sparkContext.defaultParallelism)
     made = rows.mapInPandas(featured, "label string, fold long, s binary, v binary")

@@ -21,15 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.text import WORD, whole
-from foliant.runtime import broadcast_if_small, materialize
+from foliant.runtime import broadcast_if_small, materialize, numbered
 
 WEIGHTS, SHARE, MOST_COPIES = (5, 2, 1), 1.5, 2
 BLOCK_WORDS, SHARDS, SEED = 1024, 16, 42
 #: More sources than this aren't broadcast but joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 ORDER = ("shard", "key", "ord", "block", "at")
-#: A prime above any quota below 2^31, hence coprime to it.
-_STEP = 2_147_483_629
+#: Blocks of the ordered mix that a task writes, at least and at most: some 25 to 400 MB of text.
+BLOCKS_A_TASK = (1 << 12, 1 << 16)
+#: Primes, one of which at least doesn't divide a quota below 2^61, and is then coprime to it.
+_STEPS = (2_147_483_629, 2_147_483_587)
 
 
 def document_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -201,7 +203,10 @@ def draw_blocks(sizes: DataFrame, plan: DataFrame, block_words: int = BLOCK_WORD
     pieces = copies.withColumn("block", F.explode(F.sequence(first, last)))
     lo, hi = F.greatest("lo", F.col("block") * block_words), F.least(F.col("hi"), (F.col("block") + 1) * block_words)
     shift = F.pmod(F.xxhash64(F.lit(seed + 1), "ord"), F.col("quota"))
-    dealt = (F.pmod(F.lit(_STEP), F.col("quota")) * F.col("block") + shift) % F.col("quota")
+    step = F.pmod(F.when(F.col("quota") % _STEPS[0] != 0, F.lit(_STEPS[0])).otherwise(F.lit(_STEPS[1])), F.col("quota"))
+    wide = lambda c: c.cast("decimal(19,0)")
+    product = F.when(F.col("quota") < 1 << 31, step * F.col("block")).otherwise(F.pmod(wide(step) * wide(F.col("block")), wide(F.col("quota"))).cast("long"))
+    dealt = (product % F.col("quota") + shift) % F.col("quota")
     shard = F.size(F.filter("cuts", lambda c: c <= dealt))
     return pieces.select(
         "uid", "copy", (lo - F.col("lo")).alias("word_from"), (hi - F.col("lo")).alias("word_to"), "ord", "block",
@@ -216,11 +221,32 @@ def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     its text. Sorted by ``ORDER`` they are the shards, shuffled, one after
     another. Nulls, repeated rows and empty tables as in ``mix``.
     """
-    kept = materialize(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    return _mixed(docs, doc_id, text, source)[0]
+
+
+def ordered_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``mixed_texts`` in their order: the partitions, in theirs, are the shards, each cut by ranges of its keys.
+
+    Keys are hashes, so equal ranges of them hold about as many blocks each and
+    need no sample. There are about four partitions a core, within the bounds
+    of ``BLOCKS_A_TASK``.
+    """
+    pieces, blocks = _mixed(docs, doc_id, text, source)
+    low, high = BLOCKS_A_TASK
+    size = min(high, max(low, blocks // (4 * docs.sparkSession.sparkContext.defaultParallelism)))
+    parts = max(1, -(-blocks // size))
+    part = F.floor((F.col("shard") + (F.col("key") / 2.0**64 + 0.5)) / SHARDS * parts).cast("int")
+    return pieces.repartitionById(parts, F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1))).sortWithinPartitions(*ORDER)
+
+
+def _mixed(docs: DataFrame, doc_id: str, text: str, source: str) -> tuple[DataFrame, int]:
+    """The pieces of the mix, and how many blocks it has."""
+    kept = numbered(docs, "mix-rows")
     flat = kept.select("uid", F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"), F.col("row")[source].alias("source"))
     size = F.regexp_count(whole("text"), F.lit(WORD)).cast("long")
     sizes = materialize(flat.select("uid", "doc_id", "source", size.alias("size")), "sizes")
-    pieces = draw_blocks(sizes, mixing_plan(sizes)).join(sizes.select("uid", "size"), "uid")
+    plan = mixing_plan(sizes)
+    pieces = draw_blocks(sizes, plan).join(sizes.select("uid", "size"), "uid")
     drawn = pieces.groupBy("uid").agg(F.collect_list(F.struct("word_from", "word_to", (F.col("word_to") == F.col("size")).alias("ends"), *ORDER)).alias("pieces"))
     words = F.regexp_extract_all(F.col("row")[text], F.lit(rf"[\x20\x09-\x0D]*{WORD}|[\x20\x09-\x0D]+\z"), F.lit(0))
 
@@ -232,12 +258,13 @@ def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
         return F.transform("pieces", one)
 
-    out = kept.join(drawn, "uid").select("row", F.explode(_let(words, cut)).alias("p"))
-    return out.select(F.col("row").withField(text, F.col("p.text")).alias("row"), *[F.col(f"p.{c}").alias(c) for c in ORDER])
+    out = kept.join(materialize(drawn, "mix-drawn").hint("merge"), "uid").select("row", F.explode(_let(words, cut)).alias("p"))
+    out = out.select(F.col("row").withField(text, F.col("p.text")).alias("row"), *[F.col(f"p.{c}").alias(c) for c in ORDER])
+    return out, plan.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, copies counted).
+    """One row for each row of ``docs``: doc_id, size, source_size, target, taken (words in the blocks that shards draw, copies counted), shards (that draw some).
 
     Null texts have size 0 and are never taken; null sources form one source,
     the last. A source without words has target 0. Repeated rows are separate
@@ -247,10 +274,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     sizes = document_sizes(docs, doc_id, text, source)
     plan = mixing_plan(sizes)
-    taken = draw_blocks(sizes, plan).groupBy("uid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("taken"))
+    words = F.sum(F.col("word_to") - F.col("word_from")).alias("taken")
+    taken = draw_blocks(sizes, plan).groupBy("uid").agg(words, F.sort_array(F.collect_set("shard")).alias("shards"))
     small = broadcast_if_small(plan.select(F.col("source").alias("plan_source"), "source_size", "target"), BROADCAST_SOURCES)
     return (
         sizes.join(taken, "uid", "left")
         .join(small, sizes["source"].eqNullSafe(small["plan_source"]))
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     )

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.linear import Rows, features, fit, on_executor
+from foliant.llm.memory import give_back
 from foliant.llm.text import WORD, whole
 from foliant.runtime import spread
 
@@ -116,6 +117,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
             out["kept"] = ~out["base_failed"] & (out["probability"] >= threshold)
             out["doc_id"] = batch["doc_id"].to_numpy()
             yield out[["doc_id", *names, "base_failed", "kept", "probability"]]
+        give_back()
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean, probability double"
@@ -133,6 +135,7 @@ def verdict_column(model: QualityModel, threshold: float = THRESHOLD):
                 n, _, _, _, repeated = measures(t)
                 out.append(n >= LEAST_WORDS and 100 * repeated <= MOST_REPEATED * n and shared.value.probability(t) >= threshold)
             yield pd.Series(out, dtype="bool")
+        give_back()
 
     from pyspark.sql import SparkSession
 

@@ -33,6 +33,8 @@ WEAK = {
 }
 KINDS = [*STRONG, *WEAK]
 _SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
+#: Spans are gathered in parts of so many, as appending copies the array.
+_PART = 128
 
 
 def find_spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -45,10 +47,13 @@ def find_spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
         end = start + F.coalesce(F.length(x["h"]), F.lit(0))
         ok = x["h"].isNotNull() if keep is None else x["h"].isNotNull() & keep(x["h"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        full = F.size(acc["some"]) >= _PART
+        out = F.when(full, F.array_append(acc["out"], acc["some"])).otherwise(acc["out"])
+        some = F.when(full, _none()).otherwise(acc["some"])
+        return F.struct(end.alias("at"), F.when(ok, F.array_append(some, span)).otherwise(some).alias("some"), out.alias("out"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("some"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+    return F.aggregate(parts, zero, step, lambda acc: F.flatten(F.array_append(acc["out"], acc["some"])))
 
 
 def _none() -> Column:

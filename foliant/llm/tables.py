@@ -9,15 +9,15 @@ _NO_KEY = np.uint64((1 << 64) - 1)
 
 
 class Table:
-    """Whole numbers by 64-bit key, looked up for arrays of keys: arrays of slots, each for the keys whose slots before were taken."""
+    """Whole numbers (of 31 bits) by 64-bit key, looked up for arrays of keys: arrays of slots, each for the keys whose slots before were taken."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 19):
-        keys, values, self.shift = keys.astype(np.uint64), values.astype(np.int64), np.uint64(64 - bits)
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = 18):
+        keys, values, self.shift = keys.astype(np.uint64), values.astype(np.int32), np.uint64(64 - bits)
         self.tables = []
         for odd in ODD:
             slot = (keys * odd) >> self.shift
             _, first = np.unique(slot, return_index=True)
-            held, value = np.full(1 << bits, _NO_KEY), np.full(1 << bits, -1)
+            held, value = np.full(1 << bits, _NO_KEY), np.full(1 << bits, -1, np.int32)
             held[slot[first]], value[slot[first]] = keys[first], values[first]
             self.tables.append((odd, held, value))
             left = np.ones(len(keys), bool)
@@ -33,7 +33,7 @@ class Table:
         odd, held, value = self.tables[0]
         slot = (keys * odd) >> self.shift
         there = held[slot]
-        out = np.where(there == keys, value[slot], -1)
+        out = np.where(there == keys, value[slot], -1).astype(np.int64)
         open_ = np.flatnonzero((there != keys) & (there != _NO_KEY))
         for odd, held, value in self.tables[1:]:
             slot = (keys[open_] * odd) >> self.shift

@@ -19,12 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.runtime import materialize
+from foliant.runtime import broadcast_if_small, materialize
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC, LEVEL, DICTIONARY_BYTES = 0x184D2A5D, 3, 16384
 #: Payloads from this many bytes are revisited; an archive is closed behind this many compressed bytes.
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 4 << 20
+#: Repeated payloads of which more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 _CHUNK, _NAMESPACE = 1 << 16, uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 _SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 _DATE = "2000-01-01T00:00:00Z"
@@ -160,6 +162,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     large = rows.where(F.col("size") >= REVISIT_BYTES)
     groups = large.groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = broadcast_if_small(materialize(groups, "warc-groups"), BROADCAST_GROUPS)  # else a merge join, which splits a hot digest
     told = rows.join(groups, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")))
     told = told.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers_to")
 
