@@ -17,7 +17,8 @@ ANOMALIES = {
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, line for each line of each text."""
-    return df.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    lines = df.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
+    return lines.withColumn("pos", F.col("pos").cast("long"))
 
 
 def split_blocks(df: DataFrame, key: str, pos: str, starts) -> DataFrame:

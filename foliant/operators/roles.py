@@ -52,7 +52,7 @@ def html_blocks(bodies: DataFrame, key: str = "doc", html: str = "html") -> Data
 
     rows = bodies.select(key, found.alias("found")).withColumn("tags", tags).select(key, F.posexplode(F.flatten(F.transform("found", leaves))).alias("pos", "b"))
     inner = F.regexp_replace(F.regexp_replace("b.x", r"(?s)^<[^>]*>", ""), r"(?s)</[^>]*>\z", "")
-    rows = rows.select(key, "pos", tag(F.col("b.x")).alias("tag"), inner.alias("inner_html"), "b.in_table_or_list", "b.in_footnotes", "b.next_tag")
+    rows = rows.select(key, F.col("pos").cast("long").alias("pos"), tag(F.col("b.x")).alias("tag"), inner.alias("inner_html"), "b.in_table_or_list", "b.in_footnotes", "b.next_tag")
     return rows.withColumn("text", text_content(F.col("inner_html")))
 
 
