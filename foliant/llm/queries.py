@@ -1,11 +1,12 @@
-"""The queries op1 to op10 with production parameters, and DuckDB SQL where it can express them."""
+"""The queries op1 to op13 with production parameters, and DuckDB SQL where it can express them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, exact_dedup, language, line_dedup, lm, mixing, quality, secrets, simhash, warc
+from foliant.llm import bpe, divergence, exact_dedup, factors, language, line_dedup, lm, mixing, periodic, quality, secrets, simhash, warc
+from foliant.llm.text import WORD, whole
 from foliant.runtime import table
 
 
@@ -54,9 +55,70 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm, op2_mixing, op3_secrets, op4_warc, op5_quality, op6_language, op7_bpe, op8_simhash, op9_line_dedup, op10_exact_dedup)}
+def op11_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = factors.fit_factors(docs.where(~held_out), table(spark, sf_dir, "labels"), metadata=["n_chars"])
+    scored = factors.score_factors(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """op13's text: in one of ten documents, by the checksum of doc_id, words repeat with a period that the checksum gives."""
+    h = F.crc32(doc_id.cast("string"))
+    words, g = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (h - h % 10) / 10
+    n = F.size(words)
+    start = (g % F.greatest(n, F.lit(1))).cast("int")
+    period = (1 + F.floor((n - start) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, start + 1, period), F.ceil((n - start) / period).cast("int")))
+    again = F.array_join(F.concat(F.slice(words, F.lit(1), start), F.slice(tail, F.lit(1), n - start)), " ")
+    return F.when((h % 10 == 0) & (n > 0), again).otherwise(text)
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), whole("text")).alias("text"))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    out = periodic.periodic_runs(docs, with_text=False).select("*", best.alias("best"))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", length.alias("length"), period.alias("period"),
+        F.floor(length * 1000 / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_lm, op2_mixing, op3_secrets, op4_warc, op5_quality, op6_language, op7_bpe, op8_simhash, op9_line_dedup, op10_exact_dedup, op11_factors, op12_divergence, op13_periodic)}
 
 ORACLE_SQL = {
+    "op12_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+             w AS (SELECT row, lang, source, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+             kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+             grp AS (SELECT DISTINCT lang, source FROM d),
+             cnt AS (SELECT lang, source, term, count(*) AS c FROM w GROUP BY lang, source, term),
+             cell AS (SELECT g.lang, g.source, k.term, coalesce(cnt.c, 0) AS c, k.c AS all_c
+                      FROM grp g JOIN kept k USING (lang) LEFT JOIN cnt ON cnt.lang = g.lang AND cnt.source = g.source AND cnt.term = k.term),
+             p AS (SELECT lang, source, term, c,
+                          (1 + 1000000000::HUGEINT * (c + 2) // (sum(c) OVER g + 2 * count(*) OVER g))::BIGINT AS p,
+                          (1 + 1000000000::HUGEINT * (all_c + 2) // (sum(all_c) OVER g + 2 * count(*) OVER g))::BIGINT AS q
+                   FROM cell WINDOW g AS (PARTITION BY lang, source)),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+                       FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+                       LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+                                  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+                       ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+             parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+                       UNION ALL
+                       SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value,
+               row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+        FROM parts QUALIFY part = 'pair' OR rank <= 10
+    """,
     "op9_line_dedup": r"""
         WITH l AS (SELECT doc_id, pos, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
                    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

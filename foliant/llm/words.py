@@ -16,8 +16,8 @@ END = np.uint64(0x9FB21C651E98DF25)
 _CHUNK = 1 << 22
 
 
-def _hash_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each word of bytes without capitals: a polynomial in the place of a byte within the word, mod 2 ** 64."""
+def hash_runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of each word of bytes: a polynomial in the place of a byte within the word, mod 2 ** 64."""
     inside = ~_WHITE[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
@@ -53,7 +53,7 @@ class Words:
             hi = min(len(raw), lo + _CHUNK)
             while hi < len(raw) and not _WHITE[raw[hi - 1]]:
                 hi += 1
-            start, end, h = _hash_runs(raw[lo:hi])
+            start, end, h = hash_runs(raw[lo:hi])
             found.append((start + lo, end + lo, h))
             lo = hi
         start, end, h = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
@@ -75,7 +75,7 @@ def hashes(words: list[bytes]) -> np.ndarray:
     out = np.full(len(words), END)
     some = [i for i, w in enumerate(words) if w]
     if some:
-        out[some] = _hash_runs(np.frombuffer(b" ".join(words[i] for i in some), np.uint8))[2]
+        out[some] = hash_runs(np.frombuffer(b" ".join(words[i] for i in some), np.uint8))[2]
     return out
 
 
