@@ -1,8 +1,7 @@
 """Blocks of html bodies and their roles.
 
-Bodies are a flat run of paragraphs and headings, beside lists and tables; a
-container within one of its own kind is not told apart. All tests are column
-expressions; states along a document are windows over it.
+``markup.leaves`` finds the blocks within lists and tables of any depth. All
+tests are column expressions; states along a document are windows over it.
 """
 
 from __future__ import annotations
@@ -14,11 +13,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import fixed
 from foliant.functions.text import EDGES, PY_SPACE, SPACE, trim, typography
+from foliant.operators.markup import HEADINGS, leaves
 
-HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_LEAVES, _CONTAINERS = ("p", *HEADINGS), ("table", "ul", "ol")
-_element = lambda tags: "(?is)" + "|".join(rf"<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in tags)
-LEAF, ELEMENT = _element(_LEAVES), _element((*_CONTAINERS, *_LEAVES))
 ARROW = r"^(?:" + SPACE + r")*(?:[→🡪🡺\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{1F800}-\x{1F8FF}]|&rarr;|&#8594;)"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&rarr;", "→"), ("&#8594;", "→"), ("&amp;", "&"))
 _NOT_WORD = "(?:[^A-Za-z0-9_]|$)"
@@ -29,31 +25,25 @@ ROMAN = rf"(?i)^[ivxlcdm]+{_NOT_WORD}"
 LINE = rf"^l(?:\.(?:{SPACE}|[0-9]|$)|{SPACE}+[0-9]|{SPACE}+[ivxlcdm])"
 
 
+def decoded(text: Column) -> Column:
+    """A text with its entities as characters, without outer blanks."""
+    for name, char in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return trim(text)
+
+
 def text_content(html: Column) -> Column:
     """The text of an element, without outer blanks."""
-    x = F.regexp_replace(html, "<[^>]*>", "")
-    for name, char in _ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(char))
-    return trim(x)
+    return decoded(F.regexp_replace(html, "<[^>]*>", ""))
 
 
 def html_blocks(bodies: DataFrame, key: str = "doc", html: str = "html") -> DataFrame:
-    """key, pos, tag, inner_html, text, in_table_or_list, in_footnotes, next_tag: a row for each p and h1 to h6, in document order."""
-    tag = lambda m: F.lower(F.regexp_extract(m, "^<([A-Za-z0-9]+)", 1))
-    found = F.regexp_extract_all(html, F.lit(ELEMENT), F.lit(0))
-    tags = F.transform("found", tag)
-
-    def leaves(m: Column, i: Column) -> Column:
-        inside = tag(m).isin(*_CONTAINERS)
-        notes = (tag(m) == "ol") & m.rlike(r"""(?is)<li\s[^>]*id=["']?footnote""")
-        own = F.when(inside, F.regexp_extract_all(m, F.lit(LEAF), F.lit(0))).otherwise(F.array(m))
-        after = F.when(inside, F.lit(None)).otherwise(F.try_element_at("tags", (i + 2).cast("int")))
-        return F.transform(own, lambda x: F.struct(x.alias("x"), inside.alias("in_table_or_list"), notes.alias("in_footnotes"), after.alias("next_tag")))
-
-    rows = bodies.select(key, found.alias("found")).withColumn("tags", tags).select(key, F.posexplode(F.flatten(F.transform("found", leaves))).alias("pos", "b"))
-    inner = F.regexp_replace(F.regexp_replace("b.x", r"(?s)^<[^>]*>", ""), r"(?s)</[^>]*>\z", "")
-    rows = rows.select(key, F.col("pos").cast("long").alias("pos"), tag(F.col("b.x")).alias("tag"), inner.alias("inner_html"), "b.in_table_or_list", "b.in_footnotes", "b.next_tag")
-    return rows.withColumn("text", text_content(F.col("inner_html")))
+    """key, pos, tag, inner_html, text, in_table_or_list, in_footnotes, next_tag: a row for each p and h1 to h6, in document order.
+
+    Null and empty bodies have none.
+    """
+    rows = bodies.select(key, F.posexplode(leaves(F.col(html))).alias("pos", "b"))
+    return rows.select(key, F.col("pos").cast("long").alias("pos"), "b.tag", "b.inner_html", decoded(F.col("b.plain")).alias("text"), "b.in_table_or_list", "b.in_footnotes", "b.next_tag")
 
 
 def strong_only(inner: Column) -> Column:

@@ -68,18 +68,48 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_TEXT = "regexp_replace(inner_html, '<[^>]*>', '', 'g')"
+_TEXT = "plain"
 for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", T.NBSP), ("&rarr;", "→"), ("&#8594;", "→"), ("&amp;", "&")):
     _TEXT = f"replace({_TEXT}, {_q(_name)}, {_q(_char)})"
-_BLOCKS = rf"""
-    e AS (SELECT page_id, unnest(x) AS m, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, {_q(roles.ELEMENT)}, 0) AS x FROM pages)),
-    e2 AS (SELECT page_id, i, m, lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1)) AS t, lead(lower(regexp_extract(m, '^<([A-Za-z0-9]+)', 1))) OVER (PARTITION BY page_id ORDER BY i) AS nt FROM e),
-    e3 AS (SELECT page_id, i, t IN ('table', 'ul', 'ol') AS box, t = 'ol' AND regexp_matches(m, {_q(r'''(?is)<li\s[^>]*id=["']?footnote''')}) AS notes, nt,
-                  CASE WHEN t IN ('table', 'ul', 'ol') THEN regexp_extract_all(m, {_q(roles.LEAF)}, 0) ELSE [m] END AS leaves FROM e2),
-    e4 AS (SELECT page_id, i, box, notes, nt, unnest(leaves) AS x, generate_subscripts(leaves, 1) AS j FROM e3),
-    b0 AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i, j) - 1 AS pos, box, notes, CASE WHEN box THEN NULL ELSE nt END AS nt,
-                  lower(regexp_extract(x, '^<([A-Za-z0-9]+)', 1)) AS tag, regexp_replace(regexp_replace(x, '(?s)^<[^>]*>', ''), '(?s)</[^>]*>$', '') AS inner_html FROM e4),
-    b AS (SELECT page_id, pos, box, notes, nt, tag, inner_html, {sql_trim(_TEXT)} AS text, max(pos) OVER (PARTITION BY page_id) AS last FROM b0)"""
+#: Patterns of the tests, as SQL has them.
+_BLANK = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_ARROW = rf"^(?:{_BLANK})*(?:[→🡪🡺\x{{2190}}-\x{{21FF}}\x{{2B00}}-\x{{2BFF}}\x{{1F800}}-\x{{1F8FF}}]|&rarr;|&#8594;)"
+_ROMAN, _AUDIT_ROMAN = "(?i)^[ivxlcdm]+(?:[^A-Za-z0-9_]|$)", r"(?i)^[ivxlcdm]+(?:[^\p{L}\p{N}_]|$)"
+_CENTURY = rf"(?i)^[i|vxlcdm]+(?:e|ème|°|er)?{_BLANK}+(?:siècle|s(?:[^A-Za-z0-9_]|$))"
+_LINE = rf"^l(?:\.(?:{_BLANK}|[0-9]|$)|{_BLANK}+[0-9]|{_BLANK}+[ivxlcdm])"
+_LAST = lambda names: f"coalesce(list_max([j FOR j IN range(1, len(st) + 1) IF st[j].n IN ({names})]), 0)"
+
+
+def _blocks(pages: str = "SELECT page_id, html FROM pages") -> str:
+    """The leaf blocks of html as a walk over its tags with a stack of open containers."""
+    return rf"""
+    toks AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id,
+                 regexp_extract_all(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z](?:[^>"'']|"[^"]*"|''[^'']*'')*>|[^<]+|<', 0) AS x FROM ({pages}))),
+    named AS (SELECT page_id, i, t, lower(regexp_extract(t, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS tag FROM toks),
+    alone AS (SELECT page_id, i, lead(tag) OVER (PARTITION BY page_id ORDER BY i) AS after FROM named WHERE tag <> ''),
+    tags AS (SELECT page_id, i, tag, ltrim(tag, '/') AS name, starts_with(tag, '/') AS closing, regexp_matches(t, '(?is)^<li\s(?:[^>]*\s)?id\s*=\s*["'']?footnote') AS item,
+                    regexp_matches(t, '(?is)^<[a-z][^>]*\sclass\s*=\s*(?:"(?:[^"]*\s)?footnotes(?:\s[^"]*)?"|''(?:[^'']*\s)?footnotes(?:\s[^'']*)?''|footnotes[\s>])') AS noted,
+                    lead(i) OVER o AS until, lead(tag) OVER o AS bound, row_number() OVER o AS k
+             FROM named WHERE regexp_matches(tag, '^/?(?:p|h[1-6]|table|ul|ol|li|div|section|aside|footer|article|address|blockquote|body|center|dd|details|dialog|dl|dt|fieldset|figcaption|figure|form|header|hr|html|main|menu|nav|pre|summary|tbody|td|tfoot|th|thead|tr)$')
+             WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+    opened AS (SELECT page_id, 0::BIGINT AS k, []::STRUCT(n VARCHAR, place BIGINT, note BOOLEAN)[] AS st FROM ({pages})
+               UNION ALL
+               SELECT page_id, k, CASE WHEN name NOT IN ('table', 'ul', 'ol', 'li', 'div', 'section', 'aside', 'footer', 'article') THEN st
+                                       WHEN name = 'li' THEN list_concat(CASE WHEN li > lst AND li > tab THEN st[1:li - 1] ELSE st END, CASE WHEN closing THEN [] ELSE [{{'n': name, 'place': i, 'note': item OR noted}}] END)
+                                       WHEN NOT closing THEN list_concat(st, [{{'n': name, 'place': i, 'note': noted}}])
+                                       WHEN own > tab OR (name = 'table' AND tab > 0) THEN st[1:own - 1] ELSE st END
+               FROM (SELECT w.st, t.*, {_LAST("'li'")} AS li, {_LAST("'ul', 'ol'")} AS lst, {_LAST("'table'")} AS tab, {_LAST("t.name")} AS own
+                     FROM opened w JOIN tags t ON t.page_id = w.page_id AND t.k = w.k + 1)),
+    within AS (SELECT t.page_id, t.i, t.tag, t.until, t.bound, t.item, len([s FOR s IN st IF s.n IN ('table', 'ul', 'ol', 'li')]) > 0 AS box, len([s FOR s IN st IF s.note]) > 0 AS noted, [s.place FOR s IN st IF s.n = 'ol'] AS lists
+               FROM tags t JOIN opened w ON w.page_id = t.page_id AND w.k = t.k),
+    held AS (SELECT DISTINCT page_id, unnest(lists) AS place FROM within WHERE item),
+    found AS (SELECT w.page_id, w.i, w.tag, w.box, w.noted OR EXISTS (SELECT 1 FROM held h WHERE h.page_id = w.page_id AND list_contains(w.lists, h.place)) AS notes,
+                     CASE WHEN w.bound = '/' || w.tag THEN a.after ELSE w.bound END AS nt, w.until
+              FROM within w LEFT JOIN alone a ON a.page_id = w.page_id AND a.i = w.until WHERE regexp_matches(w.tag, '^(?:p|h[1-6])$')),
+    b0 AS (SELECT f.page_id, f.i, f.tag, f.box, f.notes, f.nt, coalesce(string_agg(n.t, '' ORDER BY n.i), '') AS inner_html, coalesce(string_agg(n.t, '' ORDER BY n.i) FILTER (NOT regexp_matches(n.t, '(?s)^<.')), '') AS plain
+           FROM found f LEFT JOIN named n ON n.page_id = f.page_id AND n.i > f.i AND n.i < coalesce(f.until, 1000000000) GROUP BY ALL),
+    b AS (SELECT page_id, row_number() OVER o - 1 AS pos, box, notes, CASE WHEN starts_with(nt, '/') THEN NULL ELSE nt END AS nt, tag, inner_html, {sql_trim(_TEXT)} AS text, count(*) OVER (PARTITION BY page_id) - 1 AS last
+          FROM b0 WINDOW o AS (PARTITION BY page_id ORDER BY i))"""
 
 
 def _sql_edges(x: str) -> str:
@@ -101,7 +131,7 @@ def _sql_strong(t: str) -> str:
 
 _AFTER = f"regexp_replace(text, {_q(f'^(?:{T.EDGES}|[+~≈-])+')}, '')"
 _GOES_ON = f"""(left({_AFTER}, 1) = lower(left({_AFTER}, 1)) AND left({_AFTER}, 1) <> upper(left({_AFTER}, 1)) OR {_sql_starts(f'lower({_AFTER})', fixed.REFERENCE_WORDS + fixed.PUBLISHERS)}
-    OR regexp_matches({_AFTER}, {_q(roles.YEAR)}) OR regexp_matches({_AFTER}, {_q(roles.CENTURY)}) OR regexp_matches({_AFTER}, {_q(roles.ROMAN)}) OR regexp_matches(lower({_AFTER}), {_q(roles.LINE)})
+    OR regexp_matches({_AFTER}, '^[0-9]{{4}}') OR regexp_matches({_AFTER}, {_q(_CENTURY)}) OR regexp_matches({_AFTER}, {_q(_ROMAN)}) OR regexp_matches(lower({_AFTER}), {_q(_LINE)})
     OR starts_with({sql_trim('inner_html')}, '<em>'))"""
 _TITLE = _sql_edges(sql_trim(f"regexp_replace(text, {_q(rf'(?i){T.SPACE}*[\[(][0-9]+[a-f]?[\])]{T.SPACE}*$')}, '')"))
 _TITLE_LIKE = f"(regexp_matches({_TITLE}, '^[a-zA-Z0-9À-ÿŒœ]') AND length({_TITLE}) <= 100 AND NOT regexp_matches({_TITLE}, '[.!?;:]$') AND NOT {_sql_starts(f'lower({_TITLE})', fixed.TITLE_EXCLUDES)})"
@@ -109,12 +139,12 @@ _BARE = _sql_edges("text")
 _NAME = r"^(?:[\p{L}’'-]|" + T.SPACE + ")+$"
 
 
-@query(
-    rf"""WITH RECURSIVE {_BLOCKS},
+def _reader_sql(pages: str = "SELECT page_id, html FROM pages") -> str:
+    return rf"""WITH RECURSIVE {_blocks(pages)},
     live AS (SELECT *, ((starts_with(text, '[') AND ends_with(text, ']')) OR (starts_with(text, '(') AND ends_with(text, ')'))) AS direction, {_sql_strong('strong')} OR {_sql_strong('b')} AS strong,
                     row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM b WHERE NOT notes AND NOT box AND text <> ''),
     said AS (SELECT *, NOT direction AND length({_BARE}) BETWEEN 1 AND 34 AND NOT strong AND {_sql_capitals(_BARE)} AND regexp_matches({_BARE}, {_q(_NAME)}) AS speaker FROM live),
-    facts AS (SELECT *, regexp_matches(text, {_q(roles.ARROW)}) AS arrow, {_GOES_ON} AS goes_on, regexp_matches(text, {_q(f'^{T.SPACE}*«')}) OR length(text) > 150 OR speaker OR direction AS starts,
+    facts AS (SELECT *, regexp_matches(text, {_q(_ARROW)}) AS arrow, {_GOES_ON} AS goes_on, regexp_matches(text, {_q(f'^{_BLANK}*«')}) OR length(text) > 150 OR speaker OR direction AS starts,
                      tag <> 'p' OR strong OR ({_TITLE_LIKE} AND pos <> last AND coalesce(nt NOT IN ('ol', 'ul'), true)) AS heading FROM said),
     walk AS (SELECT page_id, i, starts AS body, NOT speaker AND NOT direction AND arrow AS ref, ends_with(text, ',') AS comma FROM facts WHERE i = 1
              UNION ALL SELECT f.page_id, f.i, w.body OR f.starts, NOT f.speaker AND NOT f.direction AND (f.arrow OR (w.ref AND (w.comma OR f.goes_on))), ends_with(f.text, ',')
@@ -123,19 +153,41 @@ _NAME = r"^(?:[\p{L}’'-]|" + T.SPACE + ")+$"
              FROM facts f JOIN walk w USING (page_id, i))
     SELECT page_id, pos, text, role, role = 'subheading' AND {_sql_capitals(_BARE)} AND length({_BARE}) < 50 AS centered FROM told
     UNION ALL SELECT page_id, pos, text, 'simple', false FROM b WHERE NOT notes AND box"""
-)
+
+
+@query(_reader_sql())
 def html_block_roles(spark, sf_dir):
     return roles.roles(roles.html_blocks(table(spark, sf_dir, "pages"), "page_id"), "page_id")
 
 
-_AUDIT_GOES_ON = _GOES_ON.replace(_q(roles.ROMAN), _q(r"(?i)^[ivxlcdm]+(?:[^\p{L}\p{N}_]|$)")).replace(_q(roles.CENTURY), _q(rf"(?i)^[ivxlcdm]+(?:e|ème|°|er)?{T.PY_SPACE}+(?:siècle|s(?:[^\p{{L}}\p{{N}}_]|$))"))
+#: Html that a line (?) turns into, by its number: lists, tables and sections within each other, items and paragraphs without end tags, notes.
+_NESTED = (
+    "<h2>?</h2>", "<ul><li><p>?</p><ol><li>one<p>?</p></li><li>two</ol><p>?</p></li></ul>", "<p>?</p>",
+    "<table><tr><td><table><tr><td><p>?</p></td></tr></table><p>?</p></td></tr></table>", "<p>?",
+    '<ol><li><ol><li id="footnote-1"><p>?</p></li></ol><p>?</p></li></ol>', "<p>?</p><ol><li>one</ol>",
+    '<div class="x footnotes"><p>?</p><div><p>?</p></div></div></ul>',
+)
+_NESTED_SQL = f"""SELECT doc_id AS page_id, string_agg(replace([{', '.join(map(_q, _NESTED))}][pos % {len(_NESTED)} + 1], '?', regexp_replace(line, '[<>&]', '', 'g')), '' ORDER BY pos) AS html FROM ({LINES}) GROUP BY doc_id"""
+
+
+@query(_reader_sql(_NESTED_SQL).replace("SELECT page_id, pos, text, role,", "SELECT page_id AS doc_id, pos, text, role,"))
+def nested_block_roles(spark, sf_dir):
+    """The lines of documents as bodies of nested containers."""
+    forms = F.array(*map(F.lit, _NESTED))
+    line = lambda x, i: F.replace(F.element_at(forms, (i % len(_NESTED) + 1).cast("int")), F.lit("?"), F.regexp_replace(x, "[<>&]", ""))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    bodies = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "").alias("html"))
+    return roles.roles(roles.html_blocks(bodies, "doc_id"), "doc_id")
+
+
+_AUDIT_GOES_ON = _GOES_ON.replace(_q(_ROMAN), _q(_AUDIT_ROMAN)).replace(_q(_CENTURY), _q(rf"(?i)^[ivxlcdm]+(?:e|ème|°|er)?{T.PY_SPACE}+(?:siècle|s(?:[^\p{{L}}\p{{N}}_]|$))"))
 _AUDIT_GOES_ON = _AUDIT_GOES_ON.replace(f"starts_with({sql_trim('inner_html')}, '<em>')", f"regexp_matches({sql_trim('inner_html')}, '^<(?:em|i)[ >]')")
 
 
 @query(
-    rf"""WITH RECURSIVE {_BLOCKS},
+    rf"""WITH RECURSIVE {_blocks()},
     live AS (SELECT *, {_sql_strong('strong')} OR {_sql_strong('b')} AS strong, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM b WHERE NOT notes AND NOT box AND text <> ''),
-    facts AS (SELECT *, regexp_matches(text, {_q(roles.ARROW)}) AS arrow, {_AUDIT_GOES_ON} AS goes_on, tag <> 'p' OR strong OR ({_TITLE_LIKE} AND coalesce(nt NOT IN ('ol', 'ul'), true)) AS heading,
+    facts AS (SELECT *, regexp_matches(text, {_q(_ARROW)}) AS arrow, {_AUDIT_GOES_ON} AS goes_on, tag <> 'p' OR strong OR ({_TITLE_LIKE} AND coalesce(nt NOT IN ('ol', 'ul'), true)) AS heading,
                      text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AS capitals FROM live),
     walk AS (SELECT page_id, i, arrow AS after, heading AND NOT arrow AS found, CASE WHEN arrow THEN 'reference' WHEN heading THEN 'title' ELSE 'paragraph' END AS role FROM facts WHERE i = 1
              UNION ALL SELECT f.page_id, f.i, f.arrow OR (w.after AND f.goes_on), w.found OR (f.heading AND NOT (f.arrow OR (w.after AND f.goes_on))),
