@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.text import PY_SPACE, excerpt, jaccard, match_key, trigrams
+from foliant.functions.text import PY_SPACE, excerpt, jaccard, let, match_key, trigrams
 from foliant.operators.blocks import anomalies
+from foliant.operators.markup import all_gathered, gather, gathered
 
 #: Blocks ahead that are looked at, and the score above which one is taken.
 WINDOW, THRESHOLD = 6, 0.4
@@ -34,24 +35,29 @@ def greedy_align(left: DataFrame, right: DataFrame, key: str = "doc", pos: str =
 
     A match moves on the place from which the next is sought; of equal scores
     the earliest wins. Left blocks without a key (no a-z or digit) give no row.
-    The blocks of one document are one row while they are aligned.
+    The blocks of one document are one row while they are aligned, in time linear in their number.
     """
     both = _listed(left, key, pos, text, "l").join(_listed(right, key, pos, text, "r"), key, "left")
     both = both.withColumn("r", F.coalesce("r", F.array().cast("array<struct<p:bigint,k:string,g:array<string>>>")))
 
+    kind = "struct<left_pos:bigint,right_pos:bigint,score:double>"
+    ahead = F.array(*map(F.lit, range(WINDOW)))
+
     def step(acc: Column, x: Column) -> Column:
-        scores = F.transform(F.slice("r", acc["at"] + 1, WINDOW), lambda y: similarity(x["k"], y["k"], x["g"], y["g"]).cast("double"))
+        # by index: a slice of a row's array would copy the whole array
+        score = lambda y: F.when(y.isNotNull(), similarity(x["k"], y["k"], x["g"], y["g"]).cast("double"))
+        scores = F.transform(ahead, lambda j: let(F.get(F.col("r"), acc["at"] + j), score))
 
         def place(s: Column) -> Column:
             best = F.coalesce(F.array_max(s), F.lit(0.0))
             i = F.when(best > THRESHOLD, F.array_position(s, best).cast("int") + acc["at"] - 1)
-            told = F.struct(x["p"].alias("left_pos"), F.try_element_at("r", i + 1)["p"].alias("right_pos"), best.alias("score"))
-            return F.struct(F.coalesce(i + 1, acc["at"]).alias("at"), F.array_append(acc["out"], told).alias("out"))
+            told = F.struct(x["p"].alias("left_pos"), F.get(F.col("r"), i)["p"].alias("right_pos"), best.alias("score"))
+            return F.struct(F.coalesce(i + 1, acc["at"]).alias("at"), gather(acc["out"], told, kind).alias("out"))
 
-        return F.element_at(F.transform(F.array(scores), place), 1)
+        return let(scores, place)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<left_pos:bigint,right_pos:bigint,score:double>>").alias("out"))
-    pairs = F.aggregate(F.filter("l", lambda x: x["k"] != ""), zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), gathered(kind).alias("out"))
+    pairs = F.aggregate(F.filter("l", lambda x: x["k"] != ""), zero, step, lambda acc: all_gathered(acc["out"]))
     return both.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.scan import running
 
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 _ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*?"""
@@ -21,16 +22,14 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return lines.withColumn("pos", F.col("pos").cast("long"))
 
 
-def split_blocks(df: DataFrame, key: str, pos: str, starts) -> DataFrame:
-    """Adds ``block``, the running number of rows at which a block starts."""
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("block", F.sum(starts.cast("long")).over(w))
+def split_blocks(df: DataFrame, key: str, pos: str, starts, bits: int | None = None) -> DataFrame:
+    """Adds ``block``, the running number of rows at which a block starts; ``bits`` for documents of any size, see ``scan.running``."""
+    return running(df, key, pos, {"block": ("sum", starts.cast("long"))}, bits)
 
 
-def sticky(df: DataFrame, key: str, pos: str, condition, name: str) -> DataFrame:
+def sticky(df: DataFrame, key: str, pos: str, condition, name: str, bits: int | None = None) -> DataFrame:
     """Adds ``name``: if the condition held on this row or before."""
-    w = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.coalesce(F.bool_or(condition).over(w), F.lit(False)))
+    return running(df, key, pos, {name: ("any", condition)}, bits)
 
 
 def merge_lines(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
@@ -56,24 +55,24 @@ _TRANSLATOR = r"(?i)^(Trad\.|Traduction)"
 _NOT_HEADING = r"(?i)^(Trad\.|Traduction|Tome|Vol\.|Ed\.|Éd\.|p\.|Page|Chapitre|col\.)"
 
 
-def merge_references(df: DataFrame, key: str, pos: str, text: str) -> DataFrame:
+def merge_references(df: DataFrame, key: str, pos: str, text: str, bits: int | None = None) -> DataFrame:
     """key, ``block`` (position of its first line), n_lines, merged: a line that starts with an arrow takes in the lines that go on with it.
 
     Lines go on unless they start with «, →, * or N.B., or look like a
     subheading; after , ; : or -, and with a lower-case letter, a bracket or
     Trad. at their start, they go on in any case but the first. Tags don't count.
+    With ``bits`` (see ``scan.running``) documents of any size are taken; a merged reference is one row.
     """
-    w = Window.partitionBy(key).orderBy(pos)
     clean = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", ""), r"^[\s\x{A0}\x{202F}]+|[\s\x{A0}\x{202F}]+$", "")
-    lines = df.select(key, pos, text, clean.alias("_clean"))
+    lines = running(df.select(key, pos, text, clean.alias("_clean")), key, pos, {"_lag": ("before", F.col("_clean"))}, bits)
     line, arrow = F.col("_clean"), F.col("_clean").startswith("→")
     starts = line.rlike(r"^(?:[«→*]|N\.B\.)")
     heading = (F.length(line) < 75) & ~line.rlike(r"[.!?»]$") & line.rlike("^[A-ZÀ-Ÿ]") & ~line.rlike(_NOT_HEADING)
-    goes_on = F.coalesce(F.lag(line).over(w).rlike("[,;:-]$"), F.lit(False)) | line.rlike(r"^[\p{Ll}(\[]") | line.rlike(_TRANSLATOR)
+    goes_on = F.coalesce(F.col("_lag").rlike("[,;:-]$"), F.lit(False)) | line.rlike(r"^[\p{Ll}(\[]") | line.rlike(_TRANSLATOR)
     lines = lines.withColumn("_arrow", arrow).withColumn("_new", arrow | starts | ~(goes_on | ~heading))
-    lines = split_blocks(lines, key, pos, F.col("_new"))
-    inside = Window.partitionBy(key, "block").orderBy(pos)
-    headed = F.first("_arrow").over(inside)
+    new = F.coalesce(F.col("_new"), F.lit(False))
+    headed = {"_headed": ("last", F.when(new, F.coalesce("_arrow", F.lit(False)))), "_from": ("last", F.when(new, F.col(pos)))}
+    lines = running(lines, key, pos, headed, bits)
     plain = F.when(F.col("_arrow"), F.regexp_replace(text, "^(<b><i>|<b>|<i>)?→(</i></b>|</b>|</i>)?", "→")).otherwise(F.col(text))
-    lines = lines.select(key, F.when(headed, F.first(pos).over(inside)).otherwise(F.col(pos)).alias("block"), F.struct(F.col(pos).alias("p"), plain.alias("t")).alias("l"))
+    lines = lines.select(key, F.when(F.col("_headed"), F.col("_from")).otherwise(F.col(pos)).alias("block"), F.struct(F.col(pos).alias("p"), plain.alias("t")).alias("l"))
     return lines.groupBy(key, "block").agg(F.count("*").alias("n_lines"), F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"]), "\n").alias("merged"))

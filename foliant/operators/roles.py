@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import fixed
 from foliant.functions.text import EDGES, PY_SPACE, SPACE, trim, typography
 from foliant.operators.markup import HEADINGS, leaves
+from foliant.operators.scan import running
 
 ARROW = r"^(?:" + SPACE + r")*(?:[→🡪🡺\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{1F800}-\x{1F8FF}]|&rarr;|&#8594;)"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&rarr;", "→"), ("&#8594;", "→"), ("&amp;", "&"))
@@ -92,12 +93,10 @@ def continues_reference(text: Column, inner: Column, audit: bool = False) -> Col
     return lower | _starts(low, fixed.REFERENCE_WORDS + fixed.PUBLISHERS) | x.rlike(YEAR) | x.rlike(century) | x.rlike(roman) | low.rlike(LINE) | italic
 
 
-def reference_runs(rows: DataFrame, key: str, pos: str, arrow: Column, goes_on: Column, name: str = "is_reference") -> DataFrame:
-    """Adds ``name``: if a row is in a run that an arrow starts and rows that go on with it carry on."""
-    w = Window.partitionBy(key).orderBy(pos)
-    rows = rows.withColumns({"_arrow": F.coalesce(arrow, F.lit(False)), "_new": F.coalesce(arrow | ~goes_on, F.lit(True))})
-    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.withColumn(name, F.first("_arrow").over(Window.partitionBy(key, "_run").orderBy(pos))).drop("_arrow", "_new", "_run")
+def reference_runs(rows: DataFrame, key: str, pos: str, arrow: Column, goes_on: Column, name: str = "is_reference", bits: int | None = None) -> DataFrame:
+    """Adds ``name``: if a row is in a run that an arrow starts and rows that go on with it carry on; ``bits`` as in ``scan.running``."""
+    starts = F.when(F.coalesce(arrow | ~goes_on, F.lit(True)), F.coalesce(arrow, F.lit(False)))
+    return running(rows, key, pos, {name: ("last", starts)}, bits).withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _live(blocks: DataFrame, key: str) -> DataFrame:
