@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.folds import fold_each
 from foliant.functions.text import PY_SPACE, excerpt, jaccard, let, match_key, trigrams
 from foliant.operators.blocks import anomalies
-from foliant.operators.markup import all_gathered, gather, gathered
 
 #: Blocks ahead that are looked at, and the score above which one is taken.
 WINDOW, THRESHOLD = 6, 0.4
@@ -43,21 +43,21 @@ def greedy_align(left: DataFrame, right: DataFrame, key: str = "doc", pos: str =
     kind = "struct<left_pos:bigint,right_pos:bigint,score:double>"
     ahead = F.array(*map(F.lit, range(WINDOW)))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         # by index: a slice of a row's array would copy the whole array
         score = lambda y: F.when(y.isNotNull(), similarity(x["k"], y["k"], x["g"], y["g"]).cast("double"))
-        scores = F.transform(ahead, lambda j: let(F.get(F.col("r"), acc["at"] + j), score))
+        scores = F.transform(ahead, lambda j: let(F.get(F.col("r"), state["at"] + j), score))
 
         def place(s: Column) -> Column:
             best = F.coalesce(F.array_max(s), F.lit(0.0))
-            i = F.when(best > THRESHOLD, F.array_position(s, best).cast("int") + acc["at"] - 1)
+            i = F.when(best > THRESHOLD, F.array_position(s, best).cast("int") + state["at"] - 1)
             told = F.struct(x["p"].alias("left_pos"), F.get(F.col("r"), i)["p"].alias("right_pos"), best.alias("score"))
-            return F.struct(F.coalesce(i + 1, acc["at"]).alias("at"), gather(acc["out"], told, kind).alias("out"))
+            return F.struct(F.coalesce(i + 1, state["at"]).alias("at"), told.alias("told"))
 
         return let(scores, place)
 
-    zero = F.struct(F.lit(0).alias("at"), gathered(kind).alias("out"))
-    pairs = F.aggregate(F.filter("l", lambda x: x["k"] != ""), zero, step, lambda acc: all_gathered(acc["out"]))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast(kind).alias("told"))
+    pairs = fold_each(F.filter("l", lambda x: x["k"] != ""), zero, step, lambda state: state["told"], kind)
     return both.select(key, F.explode(pairs).alias("x")).select(key, "x.*")
 
 

@@ -1,10 +1,9 @@
 """Leaf blocks of html, however deep their containers are nested.
 
 A body is cut to tokens: tags, text between them, and scripts, styles and
-comments as one token each. The tags that matter are folded once, in order, over
-a stack of the containers that are open; what the fold has found so far is held in parts, as
-appending copies an array. All of it is expressions over one row: nothing is
-shuffled, and a body takes time linear in its length (times its depth).
+comments as one token each. The tags that matter are folded, in order, over
+a stack of the containers that are open. All of it is expressions over one row:
+nothing is shuffled, and a body takes time linear in its length (times its depth).
 
 A paragraph or heading ends at its end tag, or where a block starts or a
 container ends before that. An item ends at the next item of its list. An end
@@ -18,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.folds import fold_each
 from foliant.functions.text import let
 
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -34,9 +34,6 @@ _RELEVANT = [f"{slash}{name}" for name in (*LEAVES, *BOXES, *SECTIONS, *_ENDS) f
 TOKEN = r"""(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
 _NOTE_ITEM = r"""(?is)^<li\s(?:[^>]*\s)?id\s*=\s*["']?footnote"""
 _NOTE_CLASS = r"""(?is)\sclass\s*=\s*(?:"(?:[^"]*\s)?footnotes(?:\s[^"]*)?"|'(?:[^']*\s)?footnotes(?:\s[^']*)?'|footnotes[\s>])"""
-#: Results of a fold are gathered in parts of so many.
-PART = 128
-
 _OPEN = "struct<name:string,at:int,note:boolean>"
 _BOUND = "struct<i:int,name:string,boxed:boolean,noted:boolean,item:boolean,lists:array<int>>"
 
@@ -45,22 +42,6 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def gathered(kind: str) -> Column:
-    """The start of a fold's result: the part that grows and the full ones."""
-    return F.struct(none_of(kind).alias("some"), none_of(f"array<{kind}>").alias("full"))
-
-
-def gather(acc: Column, item: Column, kind: str) -> Column:
-    """A result with one more item."""
-    full = F.size(acc["some"]) >= PART
-    some = F.when(full, none_of(kind)).otherwise(acc["some"])
-    return F.struct(F.array_append(some, item).alias("some"), F.when(full, F.array_append(acc["full"], acc["some"])).otherwise(acc["full"]).alias("full"))
-
-
-def all_gathered(acc: Column) -> Column:
-    return F.flatten(F.array_append(acc["full"], acc["some"]))
-
-
 def _last(stack: Column, *names: str) -> Column:
     """The place, from 1, of the last open container of some names; 0 if there is none."""
     at = F.array_position(F.reverse(F.transform(stack, lambda s: s["name"].isin(*names))), F.lit(True)).cast("int")
@@ -92,18 +73,18 @@ def _bounds(tokens: Column) -> Column:
     tags = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), name(t).alias("name"), note(t).alias("note"), t.rlike(_NOTE_ITEM).alias("item")))
     tags = F.filter(tags, lambda e: e["name"].isin(*_RELEVANT))
 
-    def fold(acc: Column, e: Column) -> Column:
-        def told(stack: Column) -> Column:
+    def step(state: Column, e: Column) -> Column:
+        def bound(stack: Column) -> Column:
             wanted = e["name"].isin(*LEAVES) | e["item"]
             lists = F.when(wanted, F.transform(F.filter(stack, lambda s: s["name"] == "ol"), lambda s: s["at"])).otherwise(none_of("int"))
             boxed, noted = F.exists(stack, lambda s: s["name"].isin(*BOXES)), F.exists(stack, lambda s: s["note"])
-            bound = F.struct(e["i"].alias("i"), e["name"].alias("name"), (wanted & boxed).alias("boxed"), (wanted & noted).alias("noted"), e["item"].alias("item"), lists.alias("lists"))
-            return F.struct(stack.alias("stack"), gather(acc["out"], bound, _BOUND).alias("out"))
+            told = F.struct(e["i"].alias("i"), e["name"].alias("name"), (wanted & boxed).alias("boxed"), (wanted & noted).alias("noted"), e["item"].alias("item"), lists.alias("lists"))
+            return F.struct(stack.alias("stack"), told.alias("bound"))
 
-        return let(_step(acc["stack"], e), told)
+        return let(_step(state["stack"], e), bound)
 
-    zero = F.struct(none_of(_OPEN).alias("stack"), gathered(_BOUND).alias("out"))
-    return F.aggregate(tags, zero, fold, lambda acc: all_gathered(acc["out"]))
+    zero = F.struct(none_of(_OPEN).alias("stack"), F.lit(None).cast(_BOUND).alias("bound"))
+    return fold_each(tags, zero, step, lambda state: state["bound"], _BOUND)
 
 
 def leaves(html: Column) -> Column:
