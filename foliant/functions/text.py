@@ -275,7 +275,7 @@ def excerpt(x: Column, chars: int) -> Column:
 
 
 def count_label(n: Column, noun: str = "texte", after: str = "trouvé") -> Column:
-    """``3 textes trouvés``; 0 and 1 are singular."""
+    """A number, a noun and a participle, both with an s from two on."""
     s = F.when(n > 1, "s").otherwise("")
     return F.concat(n.cast("string"), F.lit(f" {noun}"), s, F.lit(f" {after}"), s)
 

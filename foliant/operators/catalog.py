@@ -122,7 +122,7 @@ def cards(texts: DataFrame) -> DataFrame:
 
 
 def result_count(found: DataFrame) -> DataFrame:
-    """n, label (``2 textes trouvés``) and opens: a single result is opened at once."""
+    """n, label (see ``count_label``) and opens: a single result is opened at once."""
     n = F.count("*")
     return found.agg(n.alias("n"), count_label(n).alias("label"), (n == 1).alias("opens"))
 

@@ -54,15 +54,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+#: Input files that are numbered by a broadcast list; rows of more files are written with their numbers.
+LISTED_FILES = 20_000
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """uid, row: a number that is the same each time it is read, and the row of ``df`` as a struct.
 
-    Files that are only scanned give the same ids in every scan; anything else
-    is written first.
+    A row of a Parquet file that is only scanned is known by the file's place
+    in the list of files and its own place in the file, so that neither the
+    cores nor the splits of a scan matter. Anything else is written with
+    numbers first.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().nodeName()
-    out = df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row"))
-    return out if plan == "LogicalRelation" else materialize(out, name)
+    spark = df.sparkSession
+    files = sorted(df.inputFiles()) if df._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation" and "_metadata" not in df.columns else []
+    if not 0 < len(files) <= LISTED_FILES or not all(f.endswith(".parquet") for f in files):
+        return materialize(df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), name)
+    known = spark.createDataFrame(list(enumerate(files)), "_number long, _file string")
+    rows = df.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"), F.struct("*").alias("row"))
+    plain = lambda path: F.regexp_replace(path, "^([a-z0-9+.-]+:)/+", "$1/")  # noqa: E731 - file:/// and file:/
+    rows = rows.join(F.broadcast(known), plain("_path") == plain("_file"), "left")  # at most LISTED_FILES rows
+    number = F.coalesce("_number", F.raise_error(F.concat(F.lit("not in the list of files: "), "_path")).cast("long"))
+    return rows.select((F.shiftleft(number, 40) + F.col("_place")).alias("uid"), "row")
 
 
 def settle(spark: SparkSession) -> None:

@@ -78,7 +78,7 @@ def test_small_functions(spark):
     assert run(spark, T.word_count, ["a b  c", "", None]) == [3, 0, 0]
     assert run(spark, lambda x: T.within_words(x, 2), ["a b", "a b c", " "]) == [True, False, False]
     assert run(spark, lambda x: T.excerpt(x, 2), ["abc", ""]) == ["ab", ""]
-    assert run(spark, T.count_label, [0, 1, 2], "int") == ["0 texte trouvé", "1 texte trouvé", "2 textes trouvés"]
+    assert run(spark, lambda n: T.count_label(n, "mot", "lu"), [0, 1, 2], "int") == ["0 mot lu", "1 mot lu", "2 mots lus"]
     assert run(spark, T.first_comma, ["<a,b>x, y", "x", "a(b,c"]) == [6, -1, 3]
     assert run(spark, T.first_comma_or_paren, ["<i>a</i>(b,c", "a>b,c"]) == [8, 3]
     df = spark.createDataFrame([("l' homme  est", "l’homme est"), ("c.d", "cxd"), ("C.D", "c.d")], "t string, w string")
