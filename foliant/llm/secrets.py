@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.folds import fold_each
 from foliant.llm.text import whole
 from foliant.runtime import materialize
 
@@ -32,9 +33,8 @@ WEAK = {
     "endpoint": (r"""[a-z][a-z0-9+.-]{1,15}://[^\x00-\x20"'<>]{4,}""", "endpoint"),
 }
 KINDS = [*STRONG, *WEAK]
-_SPANS = "array<struct<start:bigint,ord:int,end:bigint>>"
-#: Spans are gathered in parts of so many, as appending copies the array.
-_PART = 128
+_SPAN = "struct<start:bigint,ord:int,end:bigint>"
+_SPANS = f"array<{_SPAN}>"
 
 
 def find_spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
@@ -42,18 +42,15 @@ def find_spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), hits.alias("h"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
+    def step(state: Column, x: Column) -> Column:
+        start = state["at"] + x["g"]
         end = start + F.coalesce(F.length(x["h"]), F.lit(0))
         ok = x["h"].isNotNull() if keep is None else x["h"].isNotNull() & keep(x["h"])
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"))
-        full = F.size(acc["some"]) >= _PART
-        out = F.when(full, F.array_append(acc["out"], acc["some"])).otherwise(acc["out"])
-        some = F.when(full, _none()).otherwise(acc["some"])
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(some, span)).otherwise(some).alias("some"), out.alias("out"))
+        return F.struct(end.alias("at"), F.when(ok, span).alias("span"))
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), _none().alias("some"), F.array().cast(f"array<{_SPANS}>").alias("out"))
-    return F.aggregate(parts, zero, step, lambda acc: F.flatten(F.array_append(acc["out"], acc["some"])))
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(None).cast(_SPAN).alias("span"))
+    return F.filter(fold_each(parts, zero, step, lambda state: state["span"], _SPAN), lambda span: span.isNotNull())
 
 
 def _none() -> Column:
@@ -96,7 +93,9 @@ def linked(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     strong = F.col("ord") < len(STRONG)
     by_start = Window.partitionBy("uid").orderBy("start", "ord")
     ended = F.max(F.when(strong, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.first(F.when(strong, F.col("start")), ignorenulls=True).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    # backwards, as Spark goes over a frame to the end of the rows again for each row
+    from_end = Window.partitionBy("uid").orderBy(F.desc("start"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.last(F.when(strong, F.col("start")), ignorenulls=True).over(from_end)
     free = (F.coalesce(ended, F.lit(-1)) <= F.col("start")) & F.coalesce(begins >= F.col("end"), F.lit(True))
     told = spans.select("uid", "start", "ord", "end", "role", free.alias("free"), *[v.alias(f"with_{k}") for k, v in beside.items()])
     complete = F.when(F.col("role") == "id", F.col("with_secret")).when(F.col("role") == "secret", F.col("with_id")).otherwise(F.col("with_id") & F.col("with_secret"))
