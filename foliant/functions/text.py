@@ -205,10 +205,19 @@ def clean_html(x: Column) -> Column:
     return trim(F.regexp_replace(x, f"<p>{PY_SPACE}*</p>", ""), PY_SPACE)
 
 
+def grams(x: Column, size: int) -> Column:
+    """The set of substrings of ``size`` characters, in order of their first places; empty if x is shorter or null."""
+
+    def cut(chars: Column) -> Column:  # by single characters, as each substring would count from the start
+        at = F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0)))
+        return F.array_distinct(F.transform(at, lambda i: F.concat(*[F.get(chars, i + j) for j in range(size)])))
+
+    return F.when(F.length(x) >= size, let(F.split(x, ""), cut)).otherwise(F.array().cast("array<string>"))
+
+
 def trigrams(x: Column) -> Column:
     """The set of three-character substrings; empty under three characters."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substring(x, i, F.lit(3)))
-    return F.when(F.length(x) >= 3, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return grams(x, 3)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -7,9 +7,10 @@ anchor only, and what meets is compared in full. Shorter keys are their own anch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import grams
 from foliant.runtime import broadcast_if_small, materialize
 
 GRAM = 3
@@ -17,12 +18,6 @@ GRAM = 3
 FEW_ANCHORS = 50_000
 
 
-def grams(x: Column, size: int = GRAM) -> Column:
-    """The set of substrings of ``size`` characters; none if x is shorter."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(x) - (size - 1), F.lit(1)))
-    return F.when(F.length(x) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(x, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
-
-
 def contained(texts: DataFrame, keys: DataFrame, text_id: str, text: str, key: str) -> DataFrame:
     """text_id, key: a row for each row of ``texts`` and each distinct key that its text holds.
 
@@ -33,7 +28,7 @@ def contained(texts: DataFrame, keys: DataFrame, text_id: str, text: str, key: s
     short = [r["n"] for r in wanted.where(F.length("_key") < GRAM).select(F.length("_key").alias("n")).distinct().collect()]  # at most GRAM - 1 rows
     sizes = [*sorted(short), GRAM]
     rows = texts.select(F.col(text_id).alias("_id"), F.col(text).alias("_text")).where("_text IS NOT NULL")
-    of_key = F.explode(F.when(F.length("_key") < GRAM, F.array("_key")).otherwise(grams(F.col("_key")))).alias("gram")
+    of_key = F.explode(F.when(F.length("_key") < GRAM, F.array("_key")).otherwise(grams(F.col("_key"), GRAM))).alias("gram")
     candidates = materialize(wanted.select("_key", of_key), "key-grams")
     some = candidates.select("gram").distinct()
     cut = rows.select("_id", F.explode(F.concat(*[grams(F.col("_text"), n) for n in sizes])).alias("gram"))

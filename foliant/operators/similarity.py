@@ -12,14 +12,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.text import let
 from foliant.runtime import materialize
 
 
 def classes(df: DataFrame, key: str, members: Column) -> DataFrame:
-    """key, class: rows of equal sets have one class, the digest of their members; empty sets and null ones have none."""
-    sets = df.select(key, F.array_sort(F.array_distinct(members)).alias("members")).where(F.size("members") > 0)
-    told = F.concat_ws("", F.transform("members", lambda m: F.concat(F.length(m).cast("string"), F.lit(":"), m)))  # one text for one set
-    return sets.select(key, F.sha2(told, 256).alias("class"), "members")
+    """key, class, members: rows of equal sets have one class, the digest of their members; empty and null sets go. Written."""
+
+    def named(m: Column) -> Column:  # one text for one set
+        told = F.concat_ws("", F.transform(m, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)))
+        return F.struct(F.sha2(told, 256).alias("class"), m.alias("members"))
+
+    made = df.select(key, let(F.array_sort(F.array_distinct(members)), named).alias("set"))
+    return materialize(made.select(key, "set.*"), "sets").where(F.size("members") > 0)
 
 
 def ranked(sets: DataFrame, counts: DataFrame) -> DataFrame:
@@ -66,8 +71,8 @@ def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     pair each; nulls within a set are left out.
     """
     clean = lambda s: F.filter(s, lambda m: m.isNotNull())
-    x = materialize(classes(left, left_key, clean(left_set)), "left-sets")
-    y = materialize(classes(right, right_key, clean(right_set)), "right-sets")
+    x = classes(left, left_key, clean(left_set))
+    y = classes(right, right_key, clean(right_set))
     pairs = similar(x, y, over, under)
     rows = pairs.join(x.select(left_key, F.col("class").alias("left_class")), "left_class").join(y.select(right_key, F.col("class").alias("right_class")), "right_class")
     return rows.select(left_key, right_key, (F.col("shared") / F.col("either")).alias("similarity"))
