@@ -290,9 +290,17 @@ def count_label(n: Column, noun: str = "texte", after: str = "trouvé") -> Colum
 
 
 def position_outside_tags(html: Column, marks: str) -> Column:
-    """0-based position of the first of the characters ``marks`` outside tags, -1 if there is none."""
-    head = F.regexp_extract(html, f"(?s)^((?:<[^>]*>|>|[^<>{re.escape(marks)}])*)[{re.escape(marks)}]", 1)
-    return F.when(html.rlike(f"(?s)^(?:<[^>]*>|>|[^<>{re.escape(marks)}])*[{re.escape(marks)}]"), F.length(head)).otherwise(-1).cast("long")
+    """0-based position of the first of the characters ``marks`` outside tags, -1 if there is none; nothing counts after a < that opens no tag."""
+    state = lambda at, found, over: F.struct(at.alias("at"), found.alias("found"), over.alias("over"))
+
+    def step(acc: Column, part: Column) -> Column:
+        before = F.length(F.regexp_extract(part, f"^[^{re.escape(marks)}]*", 0))
+        end, tag, here = acc["at"] + F.length(part), part.startswith("<"), acc["at"] + before
+        met = F.when(~tag & (before < F.length(part)), here).otherwise(F.lit(-1).cast("bigint"))
+        return F.when(acc["over"], acc).otherwise(state(end, met, (part == "<") | (met >= 0)))
+
+    parts = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit("<[^>]*>|[^<]+|<"), F.lit(0))
+    return F.aggregate(parts, state(F.lit(0).cast("bigint"), F.lit(-1).cast("bigint"), F.lit(False)), step, lambda acc: acc["found"])
 
 
 def first_comma(html: Column) -> Column:

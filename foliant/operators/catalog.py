@@ -129,7 +129,7 @@ def result_count(found: DataFrame) -> DataFrame:
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows chosen by a seeded hash of the key, in order of the key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n).orderBy(key)
 
 
 def base_name(df: DataFrame, wanted: str, filename: str = "filename") -> DataFrame:

@@ -360,7 +360,7 @@ def neighbours_of(spark, sf_dir):
     return search.neighbours(table(spark, sf_dir, "documents"), [F.col("doc_id")], "doc_id", 9)
 
 
-@query(None)
+@query("SELECT doc_id, source FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 20")
 def topn_sample(spark, sf_dir):
     return catalog.sample(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 20)
 

@@ -210,41 +210,63 @@ _SCORE = """CASE WHEN l.k = r.k THEN 1.0 WHEN contains(l.k, r.k) OR contains(r.k
     WHEN len(l.g) > 0 AND len(r.g) > 0 THEN len(list_intersect(l.g, r.g)) / len(list_distinct(list_concat(l.g, r.g)))::DOUBLE ELSE 0.0 END"""
 
 
-@query(
-    f"""WITH RECURSIVE k AS (SELECT conv_id, turn, role, {sql_key("coalesce(text, '')")} AS k FROM conversations),
-         l AS (SELECT conv_id, turn, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM k WHERE k <> ''),
-         r AS (SELECT conv_id, turn, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS j FROM k WHERE role = 'assistant'),
-         s AS (SELECT l.conv_id, l.i, l.turn AS left_pos, r.j, r.turn AS right_pos, {_SCORE} AS score FROM l JOIN r USING (conv_id)),
-         w AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, 0::BIGINT AS at, NULL::BIGINT AS right_pos, 0.0::DOUBLE AS score FROM l
-               UNION ALL SELECT w.conv_id, w.i + 1, CASE WHEN max(s.score) > 0.4 THEN arg_max(s.j, (s.score, -s.j)) ELSE w.at END,
+def _greedy(left: str, right: str) -> str:
+    """The walk of left blocks (doc, pos, text) along right blocks, as common tables; ``met`` has doc, left_pos, right_pos, score."""
+    return f"""l AS (SELECT doc, pos, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM (SELECT doc, pos, {sql_key("coalesce(text, '')")} AS k FROM ({left})) WHERE k <> ''),
+         r AS (SELECT doc, pos, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY doc ORDER BY pos) AS j FROM (SELECT doc, pos, {sql_key("coalesce(text, '')")} AS k FROM ({right}))),
+         s AS (SELECT l.doc, l.i, l.pos AS left_pos, r.j, r.pos AS right_pos, {_SCORE} AS score FROM l JOIN r USING (doc)),
+         w AS (SELECT DISTINCT doc, 0::BIGINT AS i, 0::BIGINT AS reached, NULL::BIGINT AS right_pos, 0.0::DOUBLE AS score FROM l
+               UNION ALL SELECT w.doc, w.i + 1, CASE WHEN max(s.score) > 0.4 THEN arg_max(s.j, (s.score, -s.j)) ELSE w.reached END,
                                 CASE WHEN max(s.score) > 0.4 THEN arg_max(s.right_pos, (s.score, -s.j)) END, coalesce(max(s.score), 0.0)
-               FROM w JOIN l ON l.conv_id = w.conv_id AND l.i = w.i + 1 LEFT JOIN s ON s.conv_id = w.conv_id AND s.i = w.i + 1 AND s.j > w.at AND s.j <= w.at + 6 GROUP BY w.conv_id, w.i, w.at)
-        SELECT w.conv_id AS doc, l.turn AS left_pos, w.right_pos, round(w.score, 6) AS score FROM w JOIN l ON l.conv_id = w.conv_id AND l.i = w.i"""
-)
+               FROM w JOIN l ON l.doc = w.doc AND l.i = w.i + 1 LEFT JOIN s ON s.doc = w.doc AND s.i = w.i + 1 AND s.j > w.reached AND s.j <= w.reached + 6 GROUP BY w.doc, w.i, w.reached),
+         met AS (SELECT w.doc, l.pos AS left_pos, w.right_pos, w.score FROM w JOIN l ON l.doc = w.doc AND l.i = w.i)"""
+
+
+_TURNS = "SELECT conv_id AS doc, turn AS pos, text FROM conversations"
+_ANSWERS = f"{_TURNS} WHERE role = 'assistant'"
+
+
+@query(f"WITH RECURSIVE {_greedy(_TURNS, _ANSWERS)} SELECT doc, left_pos, right_pos, round(score, 6) AS score FROM met")
 def greedy_align(spark, sf_dir):
     return align.greedy_align(*_sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {_greedy(_TURNS, _ANSWERS)} SELECT doc, left_pos AS pos, length(text) AS n FROM met JOIN ({_TURNS}) t ON t.doc = met.doc AND t.pos = left_pos WHERE right_pos IS NULL".replace("SELECT doc, left_pos AS pos, length", "SELECT met.doc, left_pos AS pos, length"))
+def unmatched_turns(spark, sf_dir):
+    left, right = _sides(spark, sf_dir)
+    return align.unmatched_left(align.greedy_align(left, right), left).select("doc", "pos", F.length("text").cast("long").alias("n"))
+
+
+_LEAKS = f"{_ANSWERS} UNION ALL SELECT DISTINCT conv_id, 1000, '3 / ' || conv_id FROM conversations"
+
+
+@query(
+    rf"""WITH RECURSIVE {_greedy(_TURNS, _LEAKS)},
+         a AS (SELECT met.doc, left_pos, right_pos, length(text) > 10 AS long, contains(text, '!') AS bold, contains(text, '?') AS italic, length(text) < 60 AS title FROM met JOIN ({_TURNS}) t ON t.doc = met.doc AND t.pos = left_pos),
+         x AS (SELECT h.doc, h.pos, h.text FROM ({_LEAKS}) h ANTI JOIN a ON a.doc = h.doc AND a.right_pos = h.pos),
+         f AS (SELECT 'missing_html_block' AS type FROM a WHERE right_pos IS NULL
+               UNION ALL SELECT 'role_mismatch' FROM a WHERE right_pos IS NOT NULL AND title
+               UNION ALL SELECT 'indent_mismatch' FROM a WHERE right_pos IS NOT NULL AND NOT title AND left_pos % 2 = 1
+               UNION ALL SELECT 'style_mismatch_bold' FROM a WHERE right_pos IS NOT NULL AND bold AND long
+               UNION ALL SELECT 'style_mismatch_italic' FROM a WHERE right_pos IS NOT NULL AND italic AND long
+               UNION ALL SELECT CASE WHEN regexp_matches(text, '^[0-9]+ / [0-9]+$') THEN 'header_footer_leak' ELSE 'extra_html_block' END FROM x
+               UNION ALL SELECT 'footnotes_count_mismatch' FROM (SELECT DISTINCT doc FROM ({_ANSWERS})))
+        SELECT type, count(*) AS n FROM f GROUP BY type"""
+)
 def audit_mismatches(spark, sf_dir):
-    """Turns as page blocks, assistant turns as html blocks: counts by type."""
+    """Turns as page blocks, assistant turns and page numbers as html blocks: counts by type."""
     left, right = _sides(spark, sf_dir)
     role = F.when(F.length("text") < 60, "title").otherwise("paragraph")
     marks = [(F.col("pos") % 2 == 0).alias("has_indent"), F.col("text").contains("!").alias("has_bold"), F.col("text").contains("?").alias("has_italic")]
     pages = left.select("doc", "pos", "text", role.alias("role"), *marks)
-    html = right.select("doc", "pos", "text", F.lit("paragraph").alias("role"), F.lit(False).alias("has_bold"), F.lit(False).alias("has_italic"))
+    leaks = left.select("doc", F.lit(1000).cast("long").alias("pos"), F.concat(F.lit("3 / "), "doc").alias("text")).distinct()
+    html = right.select("doc", "pos", "text").unionByName(leaks).select("*", F.lit("paragraph").alias("role"), F.lit(False).alias("has_bold"), F.lit(False).alias("has_italic"))
     return sinks.type_counts(align.mismatches(pages, html, right.select("doc"))).select("type", "n")
 
 
 _ANOMALY_ROWS = " UNION ALL ".join(f"SELECT page_id, '{name}' AS type, unnest(regexp_extract_all(regexp_replace(html, '{blocks.HIDDEN}', '', 'g'), {_q(rule)}, 0)) AS found FROM pages" for name, rule in blocks.ANOMALIES.items())
 
 
-@query(f"SELECT type, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM ({_ANOMALY_ROWS}) GROUP BY type")
-def anomaly_counts(spark, sf_dir):
-    found = blocks.anomalies(table(spark, sf_dir, "pages"), "page_id", "html")
-    return found.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
-
-
 def _styled(spark, sf_dir):
     """Documents as bodies of which some have styles and empty paragraphs."""
     line = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.concat(F.when(i % 3 == 1, '<p style="margin:0">').otherwise("<p>"), F.regexp_replace(x, "[<>&]", ""), F.lit("</p>")))
@@ -254,6 +276,19 @@ def _styled(spark, sf_dir):
 _EMPTY = rf"regexp_matches(line, '^(?:\s|\x{{A0}})*$')"
 
 
+@query(
+    f"""WITH l AS (SELECT doc_id, regexp_replace(line, '[<>&]', '', 'g') AS line, pos FROM ({LINES})),
+             a AS (SELECT 'd' || doc_id AS page, 'inline_style' AS type FROM l WHERE pos % 3 = 1 UNION ALL SELECT 'd' || doc_id, 'empty_element' FROM l WHERE {_EMPTY}
+                   UNION ALL SELECT 'p' || page_id, type FROM ({_ANOMALY_ROWS}))
+        SELECT type, count(*) AS n, count(DISTINCT page) AS n_pages FROM a GROUP BY type"""
+)
+def anomaly_counts(spark, sf_dir):
+    """Of pages, and of documents as bodies with styles."""
+    styled = _styled(spark, sf_dir).join(table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("doc")).distinct(), "doc", "left_semi")
+    bodies = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("page"), "html").unionByName(styled.select(F.concat(F.lit("d"), "doc").alias("page"), "html"))
+    return blocks.anomalies(bodies, "page", "html").groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("page").alias("n_pages"))
+
+
 @query(
     f"""WITH l AS (SELECT doc_id, regexp_replace(line, '[<>&]', '', 'g') AS line, pos FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)),
              a AS (SELECT doc_id, 'inline_style' AS type FROM l WHERE pos % 3 = 1 UNION ALL SELECT doc_id, 'empty_element' FROM l WHERE {_EMPTY})
