@@ -57,13 +57,13 @@ class LineRuns:
     def _write(self, run: DataFrame) -> str:
         name, path = f"foliant_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
         dealt = run.repartition(self.buckets, *_HASH)
-        dealt.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).saveAsTable(name)
         track(self.spark, path)
         self.paths[name] = path
+        dealt.write.bucketBy(self.buckets, *_HASH).sortBy(*_HASH).option("path", path).saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_path(self.spark, self.paths.pop(name))
 
     def _push(self, level: int, run: DataFrame) -> None:
@@ -78,7 +78,7 @@ class LineRuns:
 
     def close(self) -> None:
         """Delete all runs; the keys that ``add`` returned stay."""
-        for name in [r for level in self.levels for r in level]:
+        for name in list(self.paths):
             self._drop(name)
         self.levels = []
 
@@ -104,17 +104,19 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bat
     cuts = sorted(set(base.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *[int(c) for c in cuts], None]
     runs, drops = LineRuns(spark, base.select(owner.alias("o")).schema["o"].dataType.simpleString()), []
-    for low, high in zip(edges, edges[1:]):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (owner > low)
-        if high is not None:
-            inside = inside & (owner <= high)
-        part = base.where(inside).select("uid", owner.alias("doc"), F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL").select("uid", "doc", "pos", "h.h1", "h.h2")
-        keys = part.groupBy(*_HASH).agg(F.min("doc").alias("owner"), (F.min("doc") < F.max("doc")).alias("shared"))
-        shared = runs.add(keys).where("shared").select(*_HASH, "owner")
-        drops.append(part.join(shared, _HASH).where("doc <> owner").select("uid", "pos"))
-    runs.close()
+    try:
+        for low, high in zip(edges, edges[1:]):
+            inside = F.lit(True)
+            if low is not None:
+                inside = inside & (owner > low)
+            if high is not None:
+                inside = inside & (owner <= high)
+            part = base.where(inside).select("uid", owner.alias("doc"), F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL").select("uid", "doc", "pos", "h.h1", "h.h2")
+            keys = part.groupBy(*_HASH).agg(F.min("doc").alias("owner"), (F.min("doc") < F.max("doc")).alias("shared"))
+            shared = runs.add(keys).where("shared").select(*_HASH, "owner")
+            drops.append(part.join(shared, _HASH).where("doc <> owner").select("uid", "pos"))
+    finally:  # also where a batch fails
+        runs.close()
     gone = reduce(DataFrame.unionByName, drops).groupBy("uid").agg(F.collect_list("pos").alias("gone"))
     out = base.drop("hashes").join(gone, "uid", "left").withColumn("lines", lines)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")  # by a hash set: linear in the lines
