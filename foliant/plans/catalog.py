@@ -294,11 +294,16 @@ def notion_limit5_guard(spark, sf_dir):
        UNION ALL SELECT 4611686018427387904 + 200 + n_nationkey, 'M' || n_nationkey, 'only ' || n_nationkey FROM nation"""
 )
 def upsert_rows(spark, sf_dir):
+    return catalog.upsert(*upserted(spark, sf_dir), "filename")
+
+
+def upserted(spark, sf_dir):
+    """Customers as catalog rows, and changes of some and additions."""
     base = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("N"), "c_nationkey").alias("filename"), F.col("c_name").alias("title"))
     nation = table(spark, sf_dir, "nation").withColumn("n", F.col("n_nationkey").cast("long"))
     changes = lambda rows, at, key, said: rows.select((F.col("n") + at).alias("pos"), F.concat(F.lit(key), "n").alias("filename"), F.concat(F.lit(said), "n").alias("title"))
     some = nation.where("n < 5").join(base.select("filename").distinct(), F.concat(F.lit("N"), "n") == F.col("filename"), "left_semi")
-    return catalog.upsert(base, changes(some, 0, "N", "first of ").unionByName(changes(some, 100, "N", "second of ")).unionByName(changes(nation, 200, "M", "only ")), "filename")
+    return base, changes(some, 0, "N", "first of ").unionByName(changes(some, 100, "N", "second of ")).unionByName(changes(nation, 200, "M", "only "))
 
 
 @query(

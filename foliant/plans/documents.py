@@ -80,7 +80,7 @@ _LINE = rf"^l(?:\.(?:{_BLANK}|[0-9]|$)|{_BLANK}+[0-9]|{_BLANK}+[ivxlcdm])"
 _LAST = lambda names: f"coalesce(list_max([j FOR j IN range(1, len(st) + 1) IF st[j].n IN ({names})]), 0)"
 
 
-def _blocks(pages: str = "SELECT page_id, html FROM pages") -> str:
+def blocks_sql(pages: str = "SELECT page_id, html FROM pages") -> str:
     """The leaf blocks of html as a walk over its tags with a stack of open containers."""
     return rf"""
     toks AS (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS i FROM (SELECT page_id,
@@ -140,7 +140,7 @@ _NAME = r"^(?:[\p{L}’'-]|" + T.SPACE + ")+$"
 
 
 def _reader_sql(pages: str = "SELECT page_id, html FROM pages") -> str:
-    return rf"""WITH RECURSIVE {_blocks(pages)},
+    return rf"""WITH RECURSIVE {blocks_sql(pages)},
     live AS (SELECT *, ((starts_with(text, '[') AND ends_with(text, ']')) OR (starts_with(text, '(') AND ends_with(text, ')'))) AS direction, {_sql_strong('strong')} OR {_sql_strong('b')} AS strong,
                     row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM b WHERE NOT notes AND NOT box AND text <> ''),
     said AS (SELECT *, NOT direction AND length({_BARE}) BETWEEN 1 AND 34 AND NOT strong AND {_sql_capitals(_BARE)} AND regexp_matches({_BARE}, {_q(_NAME)}) AS speaker FROM live),
@@ -184,8 +184,9 @@ _AUDIT_GOES_ON = _GOES_ON.replace(_q(_ROMAN), _q(_AUDIT_ROMAN)).replace(_q(_CENT
 _AUDIT_GOES_ON = _AUDIT_GOES_ON.replace(f"starts_with({sql_trim('inner_html')}, '<em>')", f"regexp_matches({sql_trim('inner_html')}, '^<(?:em|i)[ >]')")
 
 
-@query(
-    rf"""WITH RECURSIVE {_blocks()},
+def audit_sql(pages: str = "SELECT page_id, html FROM pages") -> str:
+    """Blocks as the audit sees them: page_id, pos, text, role, has_bold, has_italic."""
+    return rf"""WITH RECURSIVE {blocks_sql(pages)},
     live AS (SELECT *, {_sql_strong('strong')} OR {_sql_strong('b')} AS strong, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM b WHERE NOT notes AND NOT box AND text <> ''),
     facts AS (SELECT *, regexp_matches(text, {_q(_ARROW)}) AS arrow, {_AUDIT_GOES_ON} AS goes_on, tag <> 'p' OR strong OR ({_TITLE_LIKE} AND coalesce(nt NOT IN ('ol', 'ul'), true)) AS heading,
                      text = upper(text) AND regexp_matches(text, '\p{{Lu}}') AS capitals FROM live),
@@ -193,9 +194,11 @@ _AUDIT_GOES_ON = _AUDIT_GOES_ON.replace(f"starts_with({sql_trim('inner_html')},
              UNION ALL SELECT f.page_id, f.i, f.arrow OR (w.after AND f.goes_on), w.found OR (f.heading AND NOT (f.arrow OR (w.after AND f.goes_on))),
                     CASE WHEN f.arrow OR (w.after AND f.goes_on) THEN 'reference' WHEN f.heading THEN CASE WHEN NOT w.found OR w.after OR f.capitals THEN 'title' ELSE 'subheading' END ELSE 'paragraph' END
              FROM walk w JOIN facts f ON f.page_id = w.page_id AND f.i = w.i + 1)
-    SELECT page_id, pos, role, regexp_matches(inner_html, '(?i)<(?:b|strong)[ >]') AS has_bold, regexp_matches(inner_html, '(?i)<(?:i|em)[ >]') AS has_italic FROM facts JOIN walk USING (page_id, i)
-    UNION ALL SELECT page_id, pos, 'simple', regexp_matches(inner_html, '(?i)<(?:b|strong)[ >]'), regexp_matches(inner_html, '(?i)<(?:i|em)[ >]') FROM b WHERE NOT notes AND box"""
-)
+    SELECT page_id, pos, text, role, regexp_matches(inner_html, '(?i)<(?:b|strong)[ >]') AS has_bold, regexp_matches(inner_html, '(?i)<(?:i|em)[ >]') AS has_italic FROM facts JOIN walk USING (page_id, i)
+    UNION ALL SELECT page_id, pos, text, 'simple', regexp_matches(inner_html, '(?i)<(?:b|strong)[ >]'), regexp_matches(inner_html, '(?i)<(?:i|em)[ >]') FROM b WHERE NOT notes AND box"""
+
+
+@query(f"SELECT page_id, pos, role, has_bold, has_italic FROM ({audit_sql()})")
 def audit_block_roles(spark, sf_dir):
     return roles.audit_roles(roles.html_blocks(table(spark, sf_dir, "pages"), "page_id"), "page_id").select("page_id", "pos", "role", "has_bold", "has_italic")
 
@@ -210,7 +213,7 @@ _SCORE = """CASE WHEN l.k = r.k THEN 1.0 WHEN contains(l.k, r.k) OR contains(r.k
     WHEN len(l.g) > 0 AND len(r.g) > 0 THEN len(list_intersect(l.g, r.g)) / len(list_distinct(list_concat(l.g, r.g)))::DOUBLE ELSE 0.0 END"""
 
 
-def _greedy(left: str, right: str) -> str:
+def greedy_sql(left: str, right: str) -> str:
     """The walk of left blocks (doc, pos, text) along right blocks, as common tables; ``met`` has doc, left_pos, right_pos, score."""
     return f"""l AS (SELECT doc, pos, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY doc ORDER BY pos) AS i FROM (SELECT doc, pos, {sql_key("coalesce(text, '')")} AS k FROM ({left})) WHERE k <> ''),
          r AS (SELECT doc, pos, k, {_GRAMS} AS g, row_number() OVER (PARTITION BY doc ORDER BY pos) AS j FROM (SELECT doc, pos, {sql_key("coalesce(text, '')")} AS k FROM ({right}))),
@@ -226,12 +229,12 @@ _TURNS = "SELECT conv_id AS doc, turn AS pos, text FROM conversations"
 _ANSWERS = f"{_TURNS} WHERE role = 'assistant'"
 
 
-@query(f"WITH RECURSIVE {_greedy(_TURNS, _ANSWERS)} SELECT doc, left_pos, right_pos, round(score, 6) AS score FROM met")
+@query(f"WITH RECURSIVE {greedy_sql(_TURNS, _ANSWERS)} SELECT doc, left_pos, right_pos, round(score, 6) AS score FROM met")
 def greedy_align(spark, sf_dir):
     return align.greedy_align(*_sides(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH RECURSIVE {_greedy(_TURNS, _ANSWERS)} SELECT doc, left_pos AS pos, length(text) AS n FROM met JOIN ({_TURNS}) t ON t.doc = met.doc AND t.pos = left_pos WHERE right_pos IS NULL".replace("SELECT doc, left_pos AS pos, length", "SELECT met.doc, left_pos AS pos, length"))
+@query(f"WITH RECURSIVE {greedy_sql(_TURNS, _ANSWERS)} SELECT doc, left_pos AS pos, length(text) AS n FROM met JOIN ({_TURNS}) t ON t.doc = met.doc AND t.pos = left_pos WHERE right_pos IS NULL".replace("SELECT doc, left_pos AS pos, length", "SELECT met.doc, left_pos AS pos, length"))
 def unmatched_turns(spark, sf_dir):
     left, right = _sides(spark, sf_dir)
     return align.unmatched_left(align.greedy_align(left, right), left).select("doc", "pos", F.length("text").cast("long").alias("n"))
@@ -241,7 +244,7 @@ _LEAKS = f"{_ANSWERS} UNION ALL SELECT DISTINCT conv_id, 1000, '3 / ' || conv_id
 
 
 @query(
-    rf"""WITH RECURSIVE {_greedy(_TURNS, _LEAKS)},
+    rf"""WITH RECURSIVE {greedy_sql(_TURNS, _LEAKS)},
          a AS (SELECT met.doc, left_pos, right_pos, length(text) > 10 AS long, contains(text, '!') AS bold, contains(text, '?') AS italic, length(text) < 60 AS title FROM met JOIN ({_TURNS}) t ON t.doc = met.doc AND t.pos = left_pos),
          x AS (SELECT h.doc, h.pos, h.text FROM ({_LEAKS}) h ANTI JOIN a ON a.doc = h.doc AND a.right_pos = h.pos),
          f AS (SELECT 'missing_html_block' AS type FROM a WHERE right_pos IS NULL
@@ -299,7 +302,19 @@ def anomaly_totals(spark, sf_dir):
     return align.totals(align.markup_anomalies(bodies), bodies)
 
 
-@query(None)
+@query(
+    rf"""WITH l AS (SELECT doc_id::VARCHAR AS doc, regexp_replace(line, '[<>&]', '', 'g') AS line, pos FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents)),
+             a AS (SELECT doc, 'inline_style' AS type, 'Styles CSS en ligne (Mammoth override)' AS about, 'Style en ligne parasite détecté sur `p` : `style="margin:0"`' AS message, '<p style="margin:0"' AS text FROM l WHERE pos % 3 = 1
+                   UNION ALL SELECT doc, 'empty_element', 'Paragraphe vide ou inutile', 'Paragraphe vide `<p>` ou contenant uniquement des espaces.', left(CASE WHEN pos % 3 = 1 THEN '<p style="margin:0">' ELSE '<p>' END || line || '</p>', 80) FROM l WHERE {_EMPTY})
+        SELECT unnest(['# Rapport de Diagnostic Visuel Géométrique (PDF vs HTML)', '',
+                       'Ce rapport liste les écarts structurels, visuels et typographiques entre les PDF originaux de référence et le formatage final HTML.', '', '## Statistiques', '', '', '---', '',
+                       '## Détail des Anomalies par Fichier', '', '### Résumé par Type de Défaut', '', '| Type d''Anomalie | Description | Nombre d''occurrences |', '| --- | --- | --- |', '', '---', '']) AS value
+        UNION ALL SELECT '- **Nombre total de fichiers analysés :** ' || count(*) FROM documents
+        UNION ALL SELECT unnest(['- **Fichiers avec anomalies détectées :** ' || count(DISTINCT doc), '- **Nombre total d''anomalies :** ' || count(*)]) FROM a
+        UNION ALL SELECT '| `' || type || '` | ' || any_value(about) || ' | ' || count(*) || ' |' FROM a GROUP BY type
+        UNION ALL SELECT unnest(['### ' || doc, '', 'Nombre d''anomalies : **' || count(*) || '**', '', '| Type | Message | Extrait / Détail |', '| --- | --- | --- |', '']) FROM a GROUP BY doc
+        UNION ALL SELECT '| `' || type || '` | ' || message || ' | *' || replace(replace(text, chr(10), ' '), '|', '\|') || '* |' FROM a"""
+)
 def anomaly_report(spark, sf_dir):
     bodies = _styled(spark, sf_dir)
     found = align.markup_anomalies(bodies)

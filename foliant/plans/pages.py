@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from foliant.functions import fixed
 from foliant.functions import records as R
 from foliant.functions import text as T
-from foliant.operators import blocks, catalog, enrich, plain, search, spans
-from foliant.plans.catalog import LINES, query, sql_fold, sql_key, sql_list, sql_trim
-from foliant.runtime import table
+from foliant.operators import align, blocks, catalog, enrich, plain, search, spans
+from foliant.plans.catalog import LINES, ORACLE_SQL, query, sql_fold, sql_list, sql_trim, upserted
+from foliant.plans.documents import audit_sql, greedy_sql
+from foliant.runtime import scratch_path, table, track
 from foliant.sources import catalog as sources
-from foliant.sources import sinks
+from foliant.sources import sinks, store
 
 def _tight(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '({T.LETTER}){T.PY_SPACE}*[''’]{T.PY_SPACE}*({T.LETTER})', '\1’\2', 'g'), '({T.LETTER}){T.PY_SPACE}*-{T.PY_SPACE}*({T.LETTER})', '\1-\2', 'g')"
@@ -44,17 +45,18 @@ def page_spans(spark, sf_dir):
     )
 
 
-@query(
-    rf"""WITH s AS ({_SPANS}), {_BODY},
+_PAGE_BLOCKS = rf"""WITH s AS ({_SPANS}), {_BODY},
          ln AS (SELECT doc, page, block, line, min(line_x0) AS lx, string_agg(text, '' ORDER BY span) AS t FROM s GROUP BY ALL),
          bl AS (SELECT doc, page, block, {sql_trim(f"regexp_replace(string_agg(t, ' ' ORDER BY line), '{T.PY_SPACE}+', ' ', 'g')", T.PY_SPACE)} AS text,
                        coalesce(min(lx) FILTER (line = 0) > min(lx) FILTER (line = 1) + 12, false) AS has_indent FROM ln GROUP BY ALL),
          ab AS (SELECT doc, page, block, bool_or(bold) AS has_bold, bool_or(italic) AS has_italic, avg(size) AS avg_size, min(x0) AS x0, min(y0) AS y0, max(x0) + 38 AS x1 FROM s GROUP BY ALL),
          al AS (SELECT *, length(text) < 120 AND NOT ends_with(text, '.') AS short FROM ab JOIN bl USING (doc, page, block) JOIN body USING (doc) WHERE NOT regexp_matches(text, '^(?:[0-9]+\s*/\s*[0-9]+|[0-9]+)$'))
-        SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, y0, block) - 1 AS pos, block, md5(text) AS text,
+        SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY page, y0, block) - 1 AS pos, block, text,
                CASE WHEN abs((x0 + x1) / 2 - 300) < 25 AND x1 - x0 < 480 AND short THEN 'title' WHEN (x1 > 520 AND x0 > 180 AND x1 - x0 < 510) OR contains(left(text, 13), '→') THEN 'reference'
                     WHEN y0 > 662 AND avg_size < body - 1.2 THEN 'footnote' WHEN has_bold AND short THEN 'subheading' ELSE 'paragraph' END AS role, has_indent, has_bold, has_italic, round(avg_size, 6) AS avg_size FROM al"""
-)
+
+
+@query(f"SELECT doc, pos, block, md5(text) AS text, role, has_indent, has_bold, has_italic, avg_size FROM ({_PAGE_BLOCKS})")
 def page_block_roles(spark, sf_dir):
     found = spans.page_blocks(page_spans(spark, sf_dir))
     return found.select("doc", F.col("pos").cast("long").alias("pos"), "block", F.md5("text").alias("text"), "role", "has_indent", "has_bold", "has_italic", F.round("avg_size", 6).alias("avg_size"))
@@ -287,3 +289,45 @@ def cleaned_titles(spark, sf_dir):
     title = F.concat("p_name", F.when(k == 0, " (Version courte) fin").when(k == 1, " (COMPLÈTE)").when(k == 2, "(introduction) ").otherwise(" (autre)"))
     summary = F.concat("p_name", F.when(k == 0, ", La Nature").when(k == 1, ",,").when(k == 2, " la vérité ").otherwise(" La le travail"))
     return table(spark, sf_dir, "part").select("p_partkey", T.trim(R.clean_title(title)).alias("title"), R.without_last_notion(summary).alias("summary"))
+
+
+#: Html of a line (?), by its number, to be audited against the pages of the same lines; a page number stands at the end.
+_AUDITED = ("<p>?</p>", '<p style="margin:0">?</p>', "<h2>?</h2>", "<ul><li><p>?</p></li></ul>", "<p><b>?</b></p>", '<ol><li id="footnote-1"><p>?</p></li></ol>', "<p><i>?</i></p><p> </p>")
+_BODIES = f"""SELECT doc_id AS page_id, string_agg(replace({sql_list(_AUDITED)}[pos % {len(_AUDITED)} + 1], '?', regexp_replace(line, '[<>&]', '', 'g')), '' ORDER BY pos) || '<p>3 / 9</p>' AS html FROM ({LINES}) GROUP BY doc_id"""
+_LINE_NO = f"SELECT doc_id AS doc, pos % {len(_AUDITED)} AS k, regexp_replace(line, '[<>&]', '', 'g') AS line FROM ({LINES})"
+
+
+@query(
+    rf"""WITH RECURSIVE pb AS ({_PAGE_BLOCKS}), hb AS (SELECT page_id AS doc, pos, text, role, has_bold, has_italic FROM ({audit_sql(_BODIES)})), {greedy_sql("SELECT doc, pos, text FROM pb", "SELECT doc, pos, text FROM hb")},
+         x AS (SELECT met.doc, right_pos, a.text, a.role AS ra, a.has_indent, a.has_bold AS ba, a.has_italic AS ia, b.role AS rb, b.has_bold AS bb, b.has_italic AS ib, right_pos IS NOT NULL AND NOT (b.role = 'simple' AND a.role IN ('paragraph', 'footnote')) AS met
+               FROM met JOIN pb a ON a.doc = met.doc AND a.pos = met.left_pos LEFT JOIN hb b ON b.doc = met.doc AND b.pos = met.right_pos),
+         f AS (SELECT doc, 'missing_html_block' AS type FROM x WHERE right_pos IS NULL
+               UNION ALL SELECT doc, 'role_mismatch' FROM x WHERE met AND ra <> rb
+               UNION ALL SELECT doc, 'indent_mismatch' FROM x WHERE met AND ra = 'paragraph' AND rb = 'paragraph' AND NOT has_indent
+               UNION ALL SELECT doc, 'style_mismatch_bold' FROM x WHERE met AND ba AND NOT bb AND length(text) > 10
+               UNION ALL SELECT doc, 'style_mismatch_italic' FROM x WHERE met AND ia AND NOT ib AND length(text) > 10
+               UNION ALL SELECT doc, CASE WHEN regexp_matches(text, '^(?:[0-9]+{T.PY_SPACE}*/{T.PY_SPACE}*[0-9]+|(?i:page){T.PY_SPACE}+[0-9]+)$') THEN 'header_footer_leak' ELSE 'extra_html_block' END FROM hb ANTI JOIN x ON x.doc = hb.doc AND x.right_pos = hb.pos
+               UNION ALL SELECT doc, 'footnotes_count_mismatch' FROM (SELECT doc, count(*) FILTER (k = 5) AS n FROM ({_LINE_NO}) GROUP BY doc) n LEFT JOIN (SELECT doc, count(*) AS m FROM pb WHERE role = 'footnote' GROUP BY doc) m USING (doc) WHERE n <> coalesce(m, 0)
+               UNION ALL SELECT doc, 'inline_style' FROM ({_LINE_NO}) WHERE k = 1
+               UNION ALL SELECT doc, 'empty_element' FROM ({_LINE_NO}) WHERE k = 6 OR (k IN (0, 1, 3, 5) AND regexp_matches(line, '^(?:\s|\x{{A0}})*$')))
+        SELECT doc, type, count(*) AS n FROM f GROUP BY ALL"""
+)
+def audited_documents(spark, sf_dir):
+    """The whole audit: pages of documents against bodies of the same lines, anomalies by document and type."""
+    line = lambda x, i: F.replace(F.element_at(F.array(*map(F.lit, _AUDITED)), (i % len(_AUDITED) + 1).cast("int")), F.lit("?"), F.regexp_replace(x, "[<>&]", ""))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    bodies = docs.select(F.col("doc_id").alias("doc"), F.concat(F.array_join(F.transform(F.split("text", "\n", -1), line), ""), F.lit("<p>3 / 9</p>")).alias("html"))
+    found = align.audit(spans.page_blocks(page_spans(spark, sf_dir)), bodies)
+    return found.groupBy("doc", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH u AS ({ORACLE_SQL['upsert_rows']}) SELECT * FROM u WHERE pos <> (SELECT min(pos) FROM u WHERE filename = 'N3')")
+def stored_catalog(spark, sf_dir):
+    """The rows of ``upsert_rows`` in a stored catalog, a version for each change, without the first of a name."""
+    path = scratch_path(spark, "catalog")
+    track(spark, path)
+    base, rows = upserted(spark, sf_dir)
+    store.save(base, path)
+    store.upsert_stored(spark, path, rows)
+    store.delete_stored(spark, path, F.col("filename") == "N3")
+    return store.load(spark, path)

@@ -1,0 +1,30 @@
+"""Queries of joins and pages against their SQL on the smallest tables."""
+
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from foliant import plans
+
+SF = "/root/testdata/sf0.001"
+NAMES = sorted(n for n, f in plans.QUERIES.items() if f.__module__ in ("foliant.plans.joins", "foliant.plans.pages") or n in ("nested_block_roles", "html_block_roles", "audit_mismatches", "unmatched_turns", "anomaly_counts", "topn_sample"))
+
+
+def plain(x):
+    return round(x, 5) if isinstance(x, float) and not math.isnan(x) else x
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    df = entry.queries()[name](spark, SF)
+    want = con.sql(entry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    rows = sorted(str([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
+    assert rows and rows == sorted(str([plain(r[want.columns.index(c)]) for c in sorted(want.columns)]) for r in want.fetchall())
