@@ -12,7 +12,7 @@ tag without its start tag within the same table is ignored.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,36 +42,37 @@ def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _last(stack: Column, *names: str) -> Column:
-    """The place, from 1, of the last open container of some names; 0 if there is none."""
-    at = F.array_position(F.reverse(F.transform(stack, lambda s: s["name"].isin(*names))), F.lit(True)).cast("int")
+def _last(stack: Column, test: Callable[[Column], Column]) -> Column:
+    """The place, from 1, of the last open container whose name meets a test; 0 if there is none."""
+    at = F.array_position(F.reverse(F.transform(stack, lambda s: test(s["name"]))), F.lit(True)).cast("int")
     return F.when(at > 0, F.size(stack) + 1 - at).otherwise(0)
 
 
 def _step(stack: Column, e: Column) -> Column:
     """The stack after a tag."""
-    closing, name = e["name"].startswith("/"), F.ltrim(e["name"], F.lit("/"))
     before = lambda at: F.slice(stack, F.lit(1), at - 1)
-    item, around, table = _last(stack, "li"), _last(stack, *LISTS), _last(stack, "table")
-    opened = F.struct(name.alias("name"), e["i"].alias("at"), e["note"].alias("note"))
-    named = lambda names: reduce(lambda out, n: F.when(name == n, _last(stack, n)).otherwise(out), names, F.lit(0))
-    closed = let(named([*LISTS, *SECTIONS]), lambda at: F.when(at > table, before(at)).otherwise(stack))
-    return (
-        F.when(~name.isin(*BOXES, *SECTIONS), stack)
-        .when(~closing & (name == "li"), F.array_append(F.when((item > around) & (item > table), before(item)).otherwise(stack), opened))
-        .when(~closing, F.array_append(stack, opened))
-        .when(name == "li", F.when((item > around) & (item > table), before(item)).otherwise(stack))
-        .when(name == "table", F.when(table > 0, before(table)).otherwise(stack))
-        .otherwise(closed)
+    opened = F.struct(e["base"].alias("name"), e["i"].alias("at"), e["note"].alias("note"))
+    item = e["base"] == "li"
+    places = F.struct(
+        _last(stack, lambda n: n == e["base"]).alias("own"), _last(stack, lambda n: n == "table").alias("table"),
+        F.when(item, _last(stack, lambda n: n.isin(*LISTS))).otherwise(0).alias("around"),
     )
 
+    def changed(at: Column) -> Column:
+        # an end tag, or the next item of a list, closes what is open within the innermost table (and list, for an item)
+        reached = (at["own"] > at["around"]) & ((at["own"] > at["table"]) | ((e["base"] == "table") & (at["own"] > 0)))
+        closed = F.when((e["closing"] | item) & reached, before(at["own"])).otherwise(stack)
+        return F.when(e["closing"], closed).otherwise(F.array_append(closed, opened))
+
+    return F.when(e["base"].isin(*BOXES, *SECTIONS), let(places, changed)).otherwise(stack)
+
 
 def _bounds(tokens: Column) -> Column:
     """The tags that start or end leaves, in order, with what encloses them."""
     name = lambda t: F.lower(F.regexp_extract(t, "^<(/?[A-Za-z][A-Za-z0-9]*)", 1))
     note = lambda t: (t.rlike(_NOTE_ITEM) | t.rlike(_NOTE_CLASS)) & ~t.startswith("</")
-    tags = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), name(t).alias("name"), note(t).alias("note"), t.rlike(_NOTE_ITEM).alias("item")))
-    tags = F.filter(tags, lambda e: e["name"].isin(*_RELEVANT))
+    tags = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("i"), name(t).alias("name"), t.alias("t"))), lambda e: e["name"].isin(*_RELEVANT))
+    tags = F.transform(tags, lambda e: F.struct(e["i"].alias("i"), e["name"].alias("name"), F.ltrim(e["name"], F.lit("/")).alias("base"), e["name"].startswith("/").alias("closing"), note(e["t"]).alias("note"), e["t"].rlike(_NOTE_ITEM).alias("item")))
 
     def step(state: Column, e: Column) -> Column:
         def bound(stack: Column) -> Column:
