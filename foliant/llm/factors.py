@@ -109,7 +109,7 @@ def statistics(texts: list[str], words: Words) -> np.ndarray:
     twice = np.array([len(x) - len(set(x)) for x in held], np.int64)
     letters = np.maximum(size - kinds[:, 8], 1)
     shares = [kinds[:, k] / letters for k in range(1, _CLASSES)]
-    shares += [same / per, repeats / per, 1 - distinct / per, twice / lines]
+    shares += [same / per, repeats / per, (count - distinct) / per, twice / lines]
     numbers = [count, np.round(chars / per * 4), np.round(count / lines), lines]
     return np.stack([*map(_bins, shares), *map(_sizes, numbers)], 1)
 
