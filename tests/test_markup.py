@@ -111,3 +111,14 @@ def test_deep_and_long_bodies(spark):
     long = "<p>z</p>" * 20000
     rows = roles.html_blocks(spark.createDataFrame([("deep", deep), ("long", long)], "doc string, html string")).groupBy("doc").agg(F.count("*").alias("n"), F.count_if("in_table_or_list").alias("boxed")).collect()
     assert {r["doc"]: (r["n"], r["boxed"]) for r in rows} == {"deep": (2, 1), "long": (20000, 0)}
+
+
+def test_a_long_body_is_walked_in_seconds():
+    import time
+
+    from foliant.operators.markup import leaves_of
+
+    start = time.time()
+    found = list(leaves_of('<ul><li><p>a<b>b</b></p></li></ul><ol><li ID="footnote-1"><p>c</ol><H2>d</h2>\n<ul>' * 20_000))
+    assert len(found) == 60_000 and time.time() - start < 20
+    assert found[:3] == [("p", "a<b>b</b>", "ab", True, False, None), ("p", "c", "c", True, True, None), ("h2", "d", "d", False, False, "ul")]
