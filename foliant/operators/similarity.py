@@ -5,15 +5,25 @@ rare ones first. Two similar sets share a member among the first few of each
 (prefix filter), where "few" follows from the threshold; sizes too far apart
 and first shared members too far behind (length and place filters) rule pairs out
 before the sets themselves are compared. No pair is missed, none is made up.
+
+Where the right side is small it is sent to all tasks as an index (member: the
+classes that hold it). A left set is then compared where it is read: how many
+members it shares with each class is counted over its members. Left sets
+aren't written or shuffled, only what is found is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from foliant.functions.text import let
-from foliant.runtime import materialize
+from foliant.runtime import broadcast_if_small, materialize
 
 
 def classes(df: DataFrame, key: str, members: Column) -> DataFrame:
@@ -64,6 +74,52 @@ def similar(left: DataFrame, right: DataFrame, over: int, under: int) -> DataFra
     return pairs.where(F.col("shared") * under >= F.col("either") * over)
 
 
+#: Right sides of up to so many classes and members of these are sent to all tasks; larger ones are joined by shuffles.
+FEW_CLASSES, FEW_MEMBERS = 20_000, 2_000_000
+_SHARED = StructType([StructField(name, IntegerType()) for name in ("class", "shared", "either")])
+
+
+class Index:
+    """The classes that hold each member, as one array of classes and where each member's part of it lies."""
+
+    def __init__(self, sets: list[list[str]]):
+        names, counts = np.unique([m for s in sets for m in s], return_counts=True)
+        self.number = {m: i for i, m in enumerate(names.tolist())}
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.start = np.append(0, np.cumsum(counts))
+        members = np.array([self.number[m] for s in sets for m in s], np.int64)
+        self.classes = np.repeat(np.arange(len(sets)), self.size)[np.argsort(members, kind="stable")]
+
+    def similar(self, members: list[str], over: int, under: int) -> Iterator[tuple[int, int, int]]:
+        """(class, shared, either) of the classes that are similar enough to a set."""
+        known = [self.number[m] for m in members if m in self.number]
+        if len(known) * under < len(members) * over:  # no class can share enough
+            return
+        shared = np.bincount(np.concatenate([self.classes[self.start[i] : self.start[i + 1]] for i in known]), minlength=len(self.size))
+        either = self.size + len(members) - shared
+        for c in np.flatnonzero(shared * under >= either * over):
+            yield int(c), int(shared[c]), int(either[c])
+
+
+def _beside(left: DataFrame, left_key: str, members: Column, right: DataFrame, over: int, under: int) -> DataFrame:
+    """left_key, right_class, shared, either: ``similar`` of left rows and a small table of right classes (right_class, members)."""
+    spark = left.sparkSession
+    listed = right.toArrow()  # at most FEW_CLASSES rows
+    index = spark.sparkContext.broadcast(Index(listed["members"].to_pylist()))
+
+    def compare(sets: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for s in sets.to_pylist():
+            rows.extend(index.value.similar(list(set(s)), over, under) if s else ())
+            ends.append(len(rows))
+        columns = zip(*rows) if rows else [()] * 3
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in columns], names=_SHARED.names))
+
+    found = left.select(left_key, F.explode(F.arrow_udf(compare, ArrayType(_SHARED))(F.array_distinct(members))).alias("x"))
+    names = spark.createDataFrame(list(enumerate(listed["right_class"].to_pylist())), "class int, right_class string")
+    return found.select(left_key, "x.*").join(F.broadcast(names), "class").drop("class")
+
+
 def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_set: Column, right_set: Column, over: int = 4, under: int = 5) -> DataFrame:
     """left_key, right_key, similarity: all pairs of rows whose sets have a Jaccard similarity of ``over``/``under`` or more.
 
@@ -71,8 +127,14 @@ def similarity_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     pair each; nulls within a set are left out.
     """
     clean = lambda s: F.filter(s, lambda m: m.isNotNull())
-    x = classes(left, left_key, clean(left_set))
     y = classes(right, right_key, clean(right_set))
+    few = y.select(F.col("class").alias("right_class"), "members").dropDuplicates(["right_class"])
+    size = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("members")), F.lit(0)).alias("m")).first()
+    if size["n"] <= FEW_CLASSES and size["m"] <= FEW_MEMBERS:
+        pairs = _beside(left, left_key, clean(left_set), few, over, under)
+        rows = pairs.join(broadcast_if_small(y.select(right_key, F.col("class").alias("right_class")), FEW_CLASSES), "right_class")
+        return rows.select(left_key, right_key, (F.col("shared") / F.col("either")).alias("similarity"))
+    x = classes(left, left_key, clean(left_set))
     pairs = similar(x, y, over, under)
     rows = pairs.join(x.select(left_key, F.col("class").alias("left_class")), "left_class").join(y.select(right_key, F.col("class").alias("right_class")), "right_class")
     return rows.select(left_key, right_key, (F.col("shared") / F.col("either")).alias("similarity"))

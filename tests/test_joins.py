@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from foliant.operators import search
+from foliant.operators import search, similarity
 from foliant.operators.containment import contained, held_either_way
 from foliant.operators.similarity import similarity_join
 
@@ -70,3 +70,16 @@ def test_many_queries_find_what_each_finds(spark):
     got = {tuple(r) for r in search.search_many(texts, queries, "id", fields, "q", "query", lists).collect()}
     want = {(i, r["id"]) for i, q in enumerate(asked) if (q or "").strip() for r in search.search(texts, q, fields, lists, F.col("id")).collect()}
     assert got == want
+
+
+def test_a_small_right_side_writes_no_left_sets(spark, monkeypatch):
+    rng = random.Random(11)
+    left = spark.createDataFrame(random_sets(rng, 90), "l int, ls array<string>")
+    right = spark.createDataFrame(random_sets(rng, 60), "r int, rs array<string>")
+    written, real = [], similarity.materialize
+    monkeypatch.setattr(similarity, "materialize", lambda df, name: written.append(name) or real(df, name))
+    rows = lambda: sorted(tuple(x) for x in similarity_join(left, right, "l", "r", F.col("ls"), F.col("rs"), 1, 2).collect())
+    few = rows()
+    assert written == ["sets"] and few
+    monkeypatch.setattr(similarity, "FEW_CLASSES", 1)
+    assert rows() == few and len(written) > 2
