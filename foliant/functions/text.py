@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -136,15 +137,20 @@ def _upper_first(x: Column) -> Column:
 _WORD_CHAR = "[A-Za-z0-9_]"
 
 
-def _bounded(word: str) -> str:
-    """``word`` between borders of ASCII words: an accented letter is no part of one."""
-    starts, ends = (re.match(_WORD_CHAR, c) for c in (word[0], word[-1]))
-    return f"(?{'<!' if starts else '<='}{_WORD_CHAR})" + re.escape(word) + f"(?{'!' if ends else '='}{_WORD_CHAR})"
+def _bounded(words: list[str]) -> str:
+    """Any of ``words``, in their order, between borders of ASCII words: an accented letter is no part of one.
+
+    The border before is looked for once for all words that follow each other and start alike, not for each.
+    """
+    is_word = lambda c: re.match(_WORD_CHAR, c) is not None
+    one = lambda w: re.escape(w) + f"(?{'!' if is_word(w[-1]) else '='}{_WORD_CHAR})"
+    alike = groupby(words, lambda w: is_word(w[0]))
+    return "|".join(f"(?{'<!' if word else '<='}{_WORD_CHAR})(?:{'|'.join(map(one, some))})" for word, some in alike)
 
 
 def _each(x: Column, words: list[str], change) -> Column:
     """``change`` on each of ``words`` (whole words, in either case) in x."""
-    some = f"(?iu)(?:{'|'.join(map(_bounded, words))})"
+    some = f"(?iu)(?:{_bounded(words)})"
     parts = F.split(F.regexp_replace(x, some, "\u0001$0\u0001"), "\u0001", -1)
     return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")
 

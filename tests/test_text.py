@@ -93,3 +93,13 @@ def test_query_terms(spark, query, terms):
     assert search.search_terms(query) == terms
     got = run(spark, search.query_terms, [query])[0]
     assert ([tuple(t) for t in got] or [("word", T.fold_text(query))]) == terms
+
+
+def test_the_border_before_words_is_looked_for_once():
+    import re
+
+    from foliant.functions import text
+
+    pattern = text._bounded(["kant", "de gaulle", "ii"])
+    assert pattern.count("(?<!") == 1
+    assert re.findall(pattern, "kant kants de gaulle xii ii ékant") == ["kant", "de gaulle", "ii", "kant"]
