@@ -30,7 +30,7 @@ from foliant.llm.memory import give_back
 from foliant.llm.simhash import components
 from foliant.llm.text import slices, whole
 from foliant.llm.words import shingle_sets
-from foliant.runtime import discard, materialize, numbered, settle
+from foliant.runtime import bucketed, configured, discard, materialize, numbered, settle
 
 SHINGLE, SEED, ROUNDS = 5, 42, 3
 #: Similarity as a fraction of whole numbers, so that the bounds are exact.
@@ -100,7 +100,7 @@ def slots_apart(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, n, set, bits) are similar enough."""
+    """The pairs (a, b) of nodes whose sets (node, n, set, bits) are similar enough. Of sets in buckets by node none is moved."""
 
     def beside(pairs: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
@@ -108,10 +108,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return pairs
 
     apart = slots_apart("bitsa", "bitsb") * (UNDER + OVER)
-    close = materialize(beside(pairs, "n", "bits").where(apart <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"), "near-close")
     both = F.size(F.array_intersect("seta", "setb"))
     either = F.col("na") + F.col("nb") - both
-    return beside(close, "n", "set").where(both * UNDER >= either * OVER).select("a", "b")
+    with configured(pairs.sparkSession, "spark.sql.legacy.bucketedTableScan.outputOrdering", "true"):  # a bucket in one file is sorted
+        close = materialize(beside(pairs, "n", "bits").where(apart <= (F.col("na") + F.col("nb")) * (UNDER - OVER)).select("a", "b"), "near-close")
+        found = materialize(beside(close, "n", "set").where(both * UNDER >= either * OVER).select("a", "b"), "near-edges")
+    discard(close)
+    return found
 
 
 def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
@@ -144,7 +147,7 @@ def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
         tried.append(pairs)
         if pairs.isEmpty():  # this round's; others under a key may not have been compared yet
             continue
-        edges.append(materialize(similar_pairs(pairs, sets), "near-edges"))
+        edges.append(similar_pairs(pairs, sets))
         if labels is not None:
             discard(labels)
         labels = components(reduce(DataFrame.unionByName, edges))
@@ -157,8 +160,9 @@ def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
 
 
 def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """uid, doc_id, root (the node that names its group, whatever its doc_ids) for each of ``rows`` (with a uid that stays the same).
+    """uid, doc_id, root (a uid that names its group, whatever its doc_ids) for each of ``rows`` (with a uid that stays the same).
 
+    Of rows with equal sets the one with the smallest uid stands for all, as a node.
     Null texts and those without words form one group; of other columns nothing is read.
     """
     spark = rows.sparkSession
@@ -170,7 +174,7 @@ def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for part in slices(batch, "t", chars=1 << 20):
                 found = shingle_sets(part["t"].tolist(), SHINGLE)
                 out = part[["uid", "doc_id"]].copy()
-                out["node"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
+                out["hash"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
                 out["n"] = [len(s) for s in found]
                 last = [np.argsort(often[np.searchsorted(often, s)] == s, kind="stable") for s in found]
                 out["keys"] = [s[order][: len(s) - -(-OVER * len(s) // UNDER) + 1] if len(s) else s for s, order in zip(found, last)]
@@ -185,25 +189,27 @@ def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         give_back()
 
     kind = rows.schema[doc_id].dataType.simpleString()
-    told = rows.select("uid", F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(marks, f"uid long, doc_id {kind}, node long, n int, keys array<long>")
+    told = rows.select("uid", F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(marks, f"uid long, doc_id {kind}, hash long, n int, keys array<long>")
     told = materialize(told, "near-marks")
-    heads = materialize(told.groupBy("node").agg(F.min("uid").alias("uid")), "near-heads")
-    met = told.join(heads.select("uid").hint("merge"), "uid", "left_semi").select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    met = materialize(met, "near-keys-all")
+    heads = materialize(told.groupBy("hash").agg(F.min("uid").alias("node")), "near-heads")
+    named = materialize(told.join(heads.hint("merge"), "hash").select("uid", "doc_id", "node"), "near-named")
+    first = told.withColumnRenamed("uid", "node").join(heads.select("node").hint("merge"), "node", "left_semi")
+    met = materialize(first.select("node", "n", F.posexplode("keys").alias("pos", "key")), "near-keys-all")
+    for done in (told, heads):
+        discard(done)
+    settle(spark)
     busy = met.groupBy("key").agg(F.count("*").alias("met")).where("met > 1").select("key")
     keys = materialize(met.join(busy.hint("merge"), "key", "left_semi").select("key", "node", "n", "pos"), "near-keys")
     discard(met)
     settle(spark)
-    wanted = heads.join(keys.select("node").distinct().hint("merge"), "node", "left_semi").select("uid", "node")
-    sets = rows.join(wanted.hint("merge"), "uid").select("node", whole(text).alias("t")).mapInPandas(sets_of, "node long, n int, set array<long>, bits binary, short array<long>")
-    sets = materialize(sets, "near-sets")
-    discard(heads)
+    wanted = rows.withColumnRenamed("uid", "node").join(keys.select("node").distinct().hint("merge"), "node").select("node", whole(text).alias("t"))
+    sets = bucketed(wanted.mapInPandas(sets_of, "node long, n int, set array<long>, bits binary, short array<long>"), "node", "near-sets")
     settle(spark)
     found = links(keys, sets)
     discard(sets)
     if found is None:
-        return told.select("uid", "doc_id", F.col("node").alias("root"))
-    return told.join(found.hint("merge"), "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
+        return named.withColumnRenamed("node", "root")
+    return named.join(found.hint("merge"), "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foliant.llm import near_copies
-from foliant.runtime import materialize
+from foliant.runtime import bucketed, discard, materialize
 
 
 def sets(text):
@@ -68,3 +69,14 @@ def test_a_round_without_pairs_is_not_the_last(spark):
         keys = materialize(spark.createDataFrame([(7, node, len(s), 0) for node, s in zip(nodes, copies)], "key long, node long, n int, pos int"), "keys")
         found = near_copies.links(keys, sets_)
         assert {(r["node"], r["root"]) for r in found.collect()} == {(nodes[0], nodes[0]), (nodes[1], nodes[0])}
+
+
+def test_sets_in_buckets_are_not_moved(spark):
+    """What is written in buckets is joined without an exchange of its own, gives the same rows, and goes with its table."""
+    rows = spark.range(1000).select(F.col("id").alias("node"), (F.col("id") * 7).alias("n"))
+    kept = bucketed(rows, "node", "buckets")
+    out = spark.range(500).withColumnRenamed("id", "a").join(kept.select(F.col("node").alias("a"), "n").hint("merge"), "a")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and out.count() == 500 and {r["n"] - 7 * r["a"] for r in out.collect()} == {0}
+    discard(kept)
+    assert not [t for t in spark.catalog.listTables() if t.name == kept.__dict__["_foliant_table"]]
