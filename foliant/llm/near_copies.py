@@ -1,6 +1,11 @@
 """Groups of near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Exact, not estimated. With the shingles of all texts in one order, two sets of
+Texts meet by their SimHash fingerprints first, in ``simhash``'s pigeonring:
+those within its four bits are compared in full, and what is similar is one
+group from the start. So most copies are found, but not all: at 0.8 fingerprints
+differ in some ten bits.
+
+The rest is exact, not estimated. With the shingles of all texts in one order, two sets of
 that similarity share a shingle among the first ``n - ceil(0.8 n) + 1`` of
 each (n distinct shingles), so those are the keys under which texts meet. Any
 order will do: shingles that are common in a sample come last, others go by
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from foliant.llm import simhash
 from foliant.llm.memory import give_back
 from foliant.llm.simhash import components
 from foliant.llm.text import slices, whole
@@ -117,12 +123,33 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found
 
 
-def links(keys: DataFrame, sets: DataFrame) -> DataFrame | None:
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that equal or linked fingerprints make: for each fingerprint its smallest node with the others, and with those of the links."""
+    nodes = materialize(nodes, "near-nodes")
+    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "near-fingerprints")
+    apart = simhash.links(heads, contracted=False)
+    met = apart
+    for side, head in (("a", "x"), ("b", "y")):
+        met = met.join(heads.toDF(side, head).hint("merge"), side)
+    same = nodes.join(heads.hint("merge"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same), "near-alike")
+    for done in (apart, heads, nodes):
+        discard(done)
+    return pairs
+
+
+def links(keys: DataFrame, sets: DataFrame, alike: DataFrame | None = None) -> DataFrame | None:
     """node, root (the smallest node of its group) of the nodes that have a link, from keys (key, node, n) and sets (node, n, set, bits, short).
 
-    ``keys`` is discarded. Each round looks only at keys whose nodes are still in several groups.
+    Pairs (a, b) of ``alike`` are compared first; ``keys`` and ``alike`` are
+    discarded. Each round looks only at keys whose nodes are still in several groups.
     """
     spark, edges, labels, tried = keys.sparkSession, [], None, []
+    if alike is not None:
+        tried.append(alike)
+        edges.append(similar_pairs(alike, sets))
+        if not edges[0].isEmpty():
+            labels = components(edges[0])
     xs, ys = ([f"{c}{i}" for i in range(SLOTS // 64)] for c in "xy")
     for number in range(ROUNDS + 1):
         placed = keys.select("key", "node", "n", "pos", F.col("node").alias("label"))
@@ -176,6 +203,7 @@ def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 out = part[["uid", "doc_id"]].copy()
                 out["hash"] = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
                 out["n"] = [len(s) for s in found]
+                out["fp"] = [simhash.majority(s[lo : lo + 65536] for lo in range(0, len(s), 65536)) for s in found]
                 last = [np.argsort(often[np.searchsorted(often, s)] == s, kind="stable") for s in found]
                 out["keys"] = [s[order][: len(s) - -(-OVER * len(s) // UNDER) + 1] if len(s) else s for s, order in zip(found, last)]
                 yield out
@@ -189,11 +217,13 @@ def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         give_back()
 
     kind = rows.schema[doc_id].dataType.simpleString()
-    told = rows.select("uid", F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(marks, f"uid long, doc_id {kind}, hash long, n int, keys array<long>")
+    told = rows.select("uid", F.col(doc_id).alias("doc_id"), whole(text).alias("t")).mapInPandas(marks, f"uid long, doc_id {kind}, hash long, n int, fp long, keys array<long>")
     told = materialize(told, "near-marks")
     heads = materialize(told.groupBy("hash").agg(F.min("uid").alias("node")), "near-heads")
     named = materialize(told.join(heads.hint("merge"), "hash").select("uid", "doc_id", "node"), "near-named")
     first = told.withColumnRenamed("uid", "node").join(heads.select("node").hint("merge"), "node", "left_semi")
+    alike = fingerprint_pairs(first.select("node", "fp"))
+    settle(spark)
     met = materialize(first.select("node", "n", F.posexplode("keys").alias("pos", "key")), "near-keys-all")
     for done in (told, heads):
         discard(done)
@@ -205,7 +235,7 @@ def near_groups(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     wanted = rows.withColumnRenamed("uid", "node").join(keys.select("node").distinct().hint("merge"), "node").select("node", whole(text).alias("t"))
     sets = bucketed(wanted.mapInPandas(sets_of, "node long, n int, set array<long>, bits binary, short array<long>"), "node", "near-sets")
     settle(spark)
-    found = links(keys, sets)
+    found = links(keys, sets, alike)
     discard(sets)
     if found is None:
         return named.withColumnRenamed("node", "root")

@@ -19,7 +19,7 @@ values within two bits and is linked with the smallest that emits the same.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -46,10 +46,15 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     if not words:
         return 0
     n = max(1, len(words) - size + 1)
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 65536):
-        block = [xxhash.xxh64_intdigest(" ".join(words[i : i + size]), SEED) for i in range(a, min(n, a + 65536))]
-        ones += np.unpackbits(np.array(block, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return majority(np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + size]), SEED) for i in range(a, min(n, a + 65536))], "<u8") for a in range(0, n, 65536))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of 64-bit hashes, given in blocks, as a signed number: a bit is 1 if set in over half of them."""
+    ones, n = np.zeros(64, np.int64), 0
+    for block in blocks:
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(block)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
@@ -127,8 +132,8 @@ def midpoints(fps: pd.Series) -> pd.Series:
     return pd.Series([np.bitwise_xor(masks, np.int64(f)) for f in fps])
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect exactly those which links of ``BITS`` bits connect."""
+def links(nodes: DataFrame, contracted: bool = True) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect exactly those which links of ``BITS`` bits connect; ``contracted``: as stars, of any number of links."""
     looks = lookups(nodes.repartition(max(1, nodes.sparkSession.sparkContext.defaultParallelism), "fp"))
     busy = looks.groupBy("key").agg(F.count("*").alias("n"), F.max("filed").alias("any")).where("n > 1 AND any").select("key", "n")
     hits = materialize(looks.join(busy.hint("merge"), "key"), "simhash-hits")
@@ -137,7 +142,8 @@ def links(nodes: DataFrame) -> DataFrame:
     mids = hits.where(F.col("n") > CROWD).select("fp").distinct().select("fp", F.explode(midpoints("fp")).alias("mid"))
     heads = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
     crowd = mids.join(heads.hint("merge"), "mid").where("fp <> a").select("a", F.col("fp").alias("b"))
-    edges = materialize(contract(pairs.unionByName(crowd)), "simhash-edges")
+    found = pairs.unionByName(crowd)
+    edges = materialize(contract(found) if contracted else found.distinct(), "simhash-edges")
     discard(hits)
     return edges
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import near_copies
+from foliant.llm import near_copies, simhash
 from foliant.runtime import bucketed, discard, materialize
 
 
@@ -71,6 +71,39 @@ def test_a_round_without_pairs_is_not_the_last(spark):
         assert {(r["node"], r["root"]) for r in found.collect()} == {(nodes[0], nodes[0]), (nodes[1], nodes[0])}
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without the rounds over shared shingles, just what fingerprints link (by brute force) and is similar becomes a group."""
+    monkeypatch.setattr(near_copies, "ROUNDS", -1)
+    rng, texts = np.random.default_rng(8), []
+    for b in range(6):
+        base = [f"b{b}w{i}" for i in range(300)]
+        for _ in range(5):
+            copy = list(base)
+            for at in rng.choice(len(copy), int(rng.integers(1, 4)), replace=False):
+                copy[at] = f"edit{rng.integers(10**6)}"
+            texts.append(" ".join(copy))
+    found = near_copies.shingle_sets(texts, near_copies.SHINGLE)
+    fps = [simhash.majority([s]) for s in found]
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if ((fps[i] ^ fps[j]) % 2**64).bit_count() <= simhash.BITS}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert 6 <= len(set(root)) < len(texts)
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(set(root))
+
+
+def test_fingerprints_alone_make_no_link(spark):
+    """Pairs that fingerprints suggest are compared in full."""
+    sets_ = [np.arange(10), np.arange(11), np.arange(100)]
+    rows = [(node, len(s), s.tolist(), bytearray(near_copies.parity(s)), np.frombuffer(near_copies.parity(s, near_copies.SLOTS), "<i8").tolist()) for node, s in enumerate(sets_)]
+    sets_ = materialize(spark.createDataFrame(rows, "node long, n int, set array<long>, bits binary, short array<long>"), "sets")
+    keys = materialize(spark.createDataFrame([], "key long, node long, n int, pos int"), "keys")
+    alike = materialize(spark.createDataFrame([(0, 1), (0, 2)], "a long, b long"), "alike")
+    assert {(r["node"], r["root"]) for r in near_copies.links(keys, sets_, alike).collect()} == {(0, 0), (1, 0)}
+
+
 def test_sets_in_buckets_are_not_moved(spark):
     """What is written in buckets is joined without an exchange of its own, gives the same rows, and goes with its table."""
     rows = spark.range(1000).select(F.col("id").alias("node"), (F.col("id") * 7).alias("n"))
