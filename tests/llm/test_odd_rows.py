@@ -184,6 +184,26 @@ def test_lm_score_equals_a_plain_version(spark, monkeypatch):
     assert all(got[d]["score"] == pytest.approx(want[d], rel=1e-9, abs=1e-9) for d in docs)
 
 
+def test_lm_mixer_is_fitted_on_all_training_texts(spark):
+    """The match bits of every training text count, those of held-out texts don't, and the weights lower the loss over all of them."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 12, 60)) for _ in range(2500)]
+    rows = spark.createDataFrame([(t, i % 5 == 1) for i, t in enumerate(texts)], "text string, held_out boolean")
+    table = spark.sparkContext.broadcast(lm.continuations(rows))
+    n, hits = np.zeros((2, lm_model.PREDICTORS, lm_model.SLOTS))
+    bits = []
+    for t in (t for i, t in enumerate(texts) if i % 5 != 1):
+        w = Words.of([t])
+        bits.append(lm_model.match_bits(w.hash, w.owner, w.at, table.value, True)[0])
+        for k in range(lm_model.PREDICTORS):
+            np.add.at(n[k], bits[-1].ctx[:, k], 1)
+            np.add.at(hits[k], bits[-1].ctx[:, k], bits[-1].hit)
+    want = lm_model.Mixer.counted(n, hits)
+    got = lm.fit_mixer(rows, table)
+    assert n[0].sum() > 2000 and np.allclose(got.chance, want.chance, rtol=1e-12)
+    assert sum(got.slopes(b)[:, 0] for b in bits).sum() < sum(want.slopes(b)[:, 0] for b in bits).sum()
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in queries.op1_lm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
