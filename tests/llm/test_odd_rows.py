@@ -204,6 +204,47 @@ def test_lm_mixer_is_fitted_on_all_training_texts(spark):
     assert sum(got.slopes(b)[:, 0] for b in bits).sum() < sum(want.slopes(b)[:, 0] for b in bits).sum()
 
 
+def test_lm_speller_reads_equal_bytes_after_equal_bytes_once(spark):
+    """The speller's counts and weights are those of all bytes of all types, from the distinct bytes with the four before them."""
+    rng = np.random.default_rng(5)
+    parts = ["an", "th", "ou", "é", "er", "st", "li", "qu", "ä.", "\U0001f600"]
+    words = sorted({"".join(parts[i] for i in rng.integers(0, 10, rng.integers(1, 7))).encode() for _ in range(3000)} | {b"x", b"\0", b"0" * 500})
+    types = spark.createDataFrame([(bytearray(w), i % 7 or 1) for i, w in enumerate(words)] + [(bytearray(), 9), (bytearray(b"held"), 0)], "word binary, c long").repartition(3)
+    plain = Counter((tuple(w[max(0, i - 4) : i]), b) for w in words for i, b in enumerate([*w, 0]))
+    got = {r["gram"]: r["n"] for r in lm.grams(types.where("c > 0 AND word <> X''")).collect()}
+    want = Counter()
+    for (before, byte), n in plain.items():
+        want[sum(b << 8 * k for k, b in enumerate([byte, *reversed(before)]))] += n
+    assert got == want and 10 * len(got) < sum(map(len, words))
+
+    counts, wrap = np.zeros((len(lm_model.ORDERS) << lm_model.SPELL_BITS, 2), np.int64), 2**64
+    p1, p2, p3 = (int(x) for x in (lm_model._P1, lm_model._P2, lm_model._P3))
+    seen = []  # slots, bit and number of each bit that some word is spelt by
+    for (before, byte), times in plain.items():
+        near = sum(b << 8 * k for k, b in enumerate(reversed(before)))
+        for j in range(8):
+            node, bit, slots = (1 << j) | (byte >> (8 - j)), byte >> (7 - j) & 1, []
+            for i, k in enumerate(lm_model.ORDERS):
+                key = (((near & ((1 << 8 * k) - 1)) * p1 + i) * p2 + node * p3) % wrap
+                slots.append(((key ^ key >> 29) * p1 % wrap >> (64 - lm_model.SPELL_BITS)) + (i << lm_model.SPELL_BITS))
+                counts[slots[-1], bit] += times
+            seen.append((slots, bit, times))
+
+    def measured(weights):
+        x, gates = [], []
+        for slots, bit, times in seen:
+            right, wrong = [max(counts[s, bit] - 1, 0) for s in slots], [counts[s, 1 - bit] for s in slots]
+            level = [sum(a + b > c for c in (0.5, 4.5, 40.5)) for a, b in zip(right, wrong)]
+            x += [[math.log(a + 0.3) - math.log(b + 0.3) for a, b in zip(right, wrong)]] * times
+            gates += [level[-1] * 4 + level[-2]] * times
+        return lm_model.slopes(np.array(x), np.ones(len(x)), np.array(gates), weights)
+
+    spell = lm.speller(types)
+    assert (spell.counts == counts).all()
+    assert np.allclose(spell.weights, lm_model.fitted(lm_model.Speller(counts).weights, measured), rtol=1e-9)
+    assert np.allclose(spell.score(words)[::10], [plain_spelling(w, spell) for w in words[::10]], rtol=1e-9)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark):
     rows = [r for r in queries.op1_lm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
